@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyroom.functions import attendance as fn
 from tallyroom.operators.ordered import with_halo
+from tallyroom.sources.tables import fixed_rows
 
 LOOK_MINUTES = 5
 VOID_MINUTES = 6
@@ -46,7 +47,9 @@ def reading_owner(readings: DataFrame, cards: DataFrame, users: DataFrame) -> Da
 
 def card_match(uids: DataFrame) -> DataFrame:
     """Name of the known card a UID equals. The known cards are a fixed list of three."""
-    known = uids.sparkSession.createDataFrame(fn.KNOWN_CARDS, "card string, _uid array<int>")
+    known = fixed_rows(
+        uids.sparkSession, [{"card": name, "_uid": uid} for name, uid in fn.KNOWN_CARDS],
+        "card string, _uid array<int>")
     joined = uids.join(F.broadcast(known), F.col("uid") == F.col("_uid"), "left")
     return joined.select(*uids.columns, F.coalesce("card", F.lit(fn.WRONG_CARD)).alias("card"))
 

@@ -84,3 +84,160 @@ READINGS_SQL = """
  uids as (select event_id as reading_id, case when event_id % 7 = 0 then list_append(u[1:4], (u[5] + 1) % 256)
      when event_id % 11 = 0 then u[1:4] else u end as uid from whole)
 """
+
+
+# Mail campaigns. A task mails the customers of one nation within a thousand customer
+# keys, so a task's inline rows are bounded however many customers there are.
+WAVE = 1000
+
+
+def campaign_rows(spark: SparkSession, d: str) -> DataFrame:
+    """``(taskId, c_custkey, copy, id, address)``: some without id, some listed twice."""
+    key = F.col("c_custkey")
+    row_id = F.when(key % 7 == 0, F.lit(None)).when(key % 11 == 0, F.lit("")).otherwise(key.cast("string"))
+    twice = F.when((key % 5 == 0) & (key % 7 != 0) & (key % 11 != 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return read_table(spark, d, "customer").select(
+        (F.floor(key / WAVE) * 25 + F.col("c_nationkey")).cast("int").alias("taskId"),
+        key, F.explode(twice).alias("copy"), row_id.alias("id")).select(
+        "taskId", "c_custkey", "copy", "id",
+        F.concat(F.when(F.col("copy") == 1, F.lit("alt")).otherwise(F.lit("c")), key, F.lit("@example.org")).alias("address"))
+
+
+def tasks(spark: SparkSession, d: str) -> DataFrame:
+    listed = campaign_rows(spark, d).groupBy("taskId").agg(
+        F.sort_array(F.collect_list(F.struct("c_custkey", "copy", "id", "address"))).alias("listed"))
+    row = lambda r: F.map_filter(
+        F.create_map(F.lit("id"), r["id"], F.lit("address"), r["address"]), lambda k, v: v.isNotNull())
+    data = F.struct(
+        F.struct(F.lit("inline").alias("kind"), F.transform("listed", row).alias("rows")).alias("dataset"),
+        F.struct(F.lit("mock").alias("kind"), F.concat(F.lit("Task "), F.col("taskId")).alias("subject")).alias("template"))
+    n = F.col("taskId")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (n * 7) % 30).cast("timestamp_ntz")
+    return listed.select(
+        n.alias("id"),
+        F.element_at(F.array(F.lit("new"), F.lit("running"), F.lit("running"), F.lit("done")), n % 4 + 1).alias("state"),
+        F.when(n % 4 != 0, day).alias("timeLastProcessed"),
+        F.to_json(data).alias("data"),
+        (n % 25).alias("_nation"),
+    ).join(read_table(spark, d, "nation").select(F.col("n_nationkey").alias("_nation"), F.col("n_regionkey").alias("provider")),
+           "_nation").drop("_nation")
+
+
+def task_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks without their data, for queries that do not read it."""
+    return tasks(spark, d).drop("data")
+
+
+def providers(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("r_regionkey")
+    return read_table(spark, d, "region").select(
+        key.alias("id"), F.col("r_name").alias("name"),
+        F.to_json(F.struct(F.lit("mock").alias("kind"), F.concat(F.lit("mail"), key).alias("smtpHost"))).alias("config"),
+        F.concat(F.lit("bot"), key, F.lit("@example.org")).alias("from"))
+
+
+def mail_log(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as delivery attempts: F was queued, O failed, P has no result yet."""
+    key = F.col("c_custkey")
+    customer = read_table(spark, d, "customer").select(
+        key.alias("o_custkey"),
+        (F.floor(key / WAVE) * 25 + F.col("c_nationkey")).cast("int").alias("taskId"),
+        F.when((key % 7 == 0) | (key % 11 == 0), F.concat(F.lit("c"), key, F.lit("@example.org")))
+        .otherwise(key.cast("string")).alias("rowId"),
+        F.concat(F.lit("c"), key, F.lit("@example.org")).alias("address"))
+    state = F.when(F.col("o_orderstatus") == "F", "queued").when(F.col("o_orderstatus") == "O", "failed-to-send")
+    return read_table(spark, d, "orders").join(customer, "o_custkey").select(
+        F.col("o_orderkey").alias("id"), "taskId", "rowId", F.col("o_orderdate").alias("timeSent"),
+        "address", state.alias("providerState"))
+
+
+def results(spark: SparkSession, d: str) -> DataFrame:
+    """What happened to each attempt, by order priority."""
+    kind = F.substring("o_orderpriority", 1, 1)
+    key = F.col("o_orderkey")
+    return read_table(spark, d, "orders").select(
+        key.alias("attempt_id"),
+        F.when(kind == "1", F.concat(F.lit("250 OK id=1aB-"), key))
+        .when(kind == "3", F.when(key % 2 == 0, F.lit("nope")).otherwise(F.lit("250 OK id==")))
+        .when(kind == "5", F.lit("250 OK id= =x")).alias("response"),
+        F.when(kind == "2", F.when(key % 3 == 0, F.lit("soft bounce"))).alias("error"),
+        F.when(kind == "4", F.lit("Fail to send")).alias("exception"),
+        F.when(kind == "4", F.when(key % 2 == 0, F.lit("provider")).otherwise(F.lit("worker"))).alias("raised_by"),
+        F.when((kind == "2") & (key % 2 == 0), F.lit("sent")).alias("state"))
+
+
+def failures(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "events").where(F.col("event_type") == "error").select(
+        (F.col("user_id") % 5).cast("int").alias("provider"),
+        F.date_trunc("second", F.col("ts")).cast("timestamp_ntz").alias("fail_ts"))
+
+
+def config_snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """First and last properties per user; users 0 mod 10 are not held, 1 mod 10 are gone."""
+    e = read_table(spark, d, "events").select(
+        F.col("user_id").alias("id"), "event_id",
+        F.from_json("props", "map<string,string>").alias("config"), F.col("event_type").alias("from"))
+    entry = F.struct("config", "from")
+    ends = e.select("id", "event_id", F.to_json("config").alias("config"), "from").groupBy("id").agg(
+        F.min_by(entry, "event_id").alias("first"), F.max_by(entry, "event_id").alias("last"))
+    as_map = lambda c: F.from_json(c, "map<string,string>")
+    held = ends.where(F.col("id") % 10 != 0).select("id", as_map("first.config").alias("config"), F.col("first.from").alias("from"))
+    still = F.col("id") % 3 == 0
+    new = ends.where(F.col("id") % 10 != 1).select(
+        "id",
+        F.when(still, F.map_concat(as_map("first.config"), F.create_map(F.lit("extra"), F.lit("1"))))
+        .otherwise(as_map("last.config")).alias("config"),
+        F.when(still, F.col("first.from")).otherwise(F.col("last.from")).alias("from"))
+    return held, new
+
+
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as messages, with zero to three attachments by document id."""
+    n = F.col("doc_id")
+    attachment = lambda i, related: F.struct(
+        F.concat(F.lit("f"), n, F.lit("-"), F.lit(i)).alias("filename"), F.lit(None).cast("string").alias("cid"),
+        F.lit("image/png" if related else "application/pdf").alias("mimeType"), F.lit(related).alias("isRelated"))
+    some = [(n % 2 == 0, attachment(0, True)), (n % 3 == 0, attachment(1, False)), (n % 4 == 0, attachment(2, True))]
+    none = F.lit(None).cast("struct<filename:string,cid:string,mimeType:string,isRelated:boolean>")
+    attachments = F.filter(F.array(*[F.when(c, a).otherwise(none) for c, a in some]), lambda a: a.isNotNull())
+    return read_table(spark, d, "documents").select(
+        n.alias("msg_id"),
+        F.when(n % 5 != 0, F.col("text")).alias("contentText"),
+        F.when(n % 7 < 4, F.concat(F.lit("<p>"), F.col("text"))).alias("contentHtml"),
+        attachments.alias("attachments"))
+
+
+def inbox_raw(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id")
+    return read_table(spark, d, "documents").select(
+        F.concat(F.lit("Document "), n).alias("subject"),
+        F.array(F.concat("source", F.lit("@example.org")), F.lit("second@example.org")).alias("from"),
+        F.array(F.concat("lang", F.lit("@example.org"))).alias("recipients"),
+        (F.lit("2016-11-24 15:06:40").cast("timestamp_ntz") + F.make_dt_interval(secs=n)).alias("date"),
+        F.encode("text", "utf-8").alias("raw"))
+
+
+MAIL_SQL = """
+ base as (select cast(c_custkey // 1000 * 25 + c_nationkey as int) as "taskId", c_custkey as k,
+   (c_custkey % 7 = 0 or c_custkey % 11 = 0) as noid,
+   case when c_custkey % 7 = 0 or c_custkey % 11 = 0 then 'c' || c_custkey || '@example.org'
+     else cast(c_custkey as varchar) end as "rowId", 'c' || c_custkey || '@example.org' as address from customer),
+ listed as (select "taskId", k, 0 as copy, "rowId", address from base
+   union all select "taskId", k, 1, "rowId", 'alt' || k || '@example.org' from base where k % 5 = 0 and not noid),
+ positions as (select *, cast(row_number() over (partition by "taskId" order by k, copy) - 1 as int) as pos from listed),
+ kept as (select * from listed qualify row_number() over (partition by "taskId", "rowId" order by k desc, copy desc) = 1),
+ tasks as (select distinct "taskId" as id,
+   case "taskId" % 4 when 0 then 'new' when 3 then 'done' else 'running' end as state,
+   case when "taskId" % 4 <> 0 then cast(date '2024-01-01' + cast("taskId" * 7 % 30 as int) as timestamp) end as "timeLastProcessed",
+   n_regionkey as provider from base join nation on n_nationkey = "taskId" % 25),
+ mail_log as (select o_orderkey as id, "taskId", "rowId", address,
+   case o_orderstatus when 'F' then 'queued' when 'O' then 'failed-to-send' end as "providerState"
+   from orders join base on k = o_custkey),
+ sent as (select distinct "taskId", "rowId" from mail_log where "providerState" <> 'failed-to-send'),
+ pending as (select p.* from kept p where not exists
+   (select 1 from sent s where s."taskId" = p."taskId" and s."rowId" = p."rowId")),
+ chunked as (select "taskId", "rowId", address, row_number() over
+   (partition by "taskId" order by substr(md5("rowId"), 1, 3), "rowId") - 1 as n from pending),
+ failures as (select cast(user_id % 5 as int) as provider, date_trunc('second', ts) as fail_ts
+   from events where event_type = 'error')
+"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,12 @@ def read_jdbc(spark: SparkSession, url: str, table: str, split_column: str | Non
     return reader.load()
 
 
+def fixed_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table of fixed values, kept in the plan rather than shipped from Python."""
+    values = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"array<struct<{schema}>>")
+    return spark.range(1).select(F.inline(values))
+
+
 def scan_all(df: DataFrame) -> DataFrame:
     return df.select("*")
 
