@@ -241,3 +241,42 @@ MAIL_SQL = """
  failures as (select cast(user_id % 5 as int) as provider, date_trunc('second', ts) as fail_ts
    from events where event_type = 'error')
 """
+
+
+# Mail-server log. Lines arrive up to four minutes late; ``error`` events are junk lines.
+def log_lines(spark: SparkSession, d: str) -> DataFrame:
+    """``(namespace, seq, event_id, value)`` where ``seq`` is the arrival time in microseconds."""
+    digest = F.md5(F.col("event_id").cast("string"))
+    mail_id = F.concat_ws("-", F.substring(digest, 1, 6), F.substring(digest, 7, 6), F.substring(digest, 13, 2))
+    jitter = F.conv(F.substring(digest, 15, 2), 16, 10).cast("bigint") % 240
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return read_table(spark, d, "events").select(
+        (F.col("user_id") % 5).cast("string").alias("namespace"),
+        (micros + jitter * 1000000).alias("seq"),
+        "event_id",
+        F.when(F.col("event_type") == "error", F.concat(F.lit("junk "), F.col("props")))
+        .otherwise(F.concat_ws(" ", stamp, mail_id, F.col("event_type"))).alias("value"))
+
+
+def log_hour(seq="seq"):
+    """Hour of arrival, the range in which ordered operators cut a namespace."""
+    return F.floor(F.col(seq) / 3600000000).cast("bigint")
+
+
+def log_segments(lines: DataFrame) -> DataFrame:
+    """Lines with the day of arrival as their segment."""
+    day = F.lpad(F.floor(F.col("seq") / 86400000000).cast("string"), 8, "0")
+    return lines.withColumn("segment", day)
+
+
+EVENTS_SQL = """
+ lines as (select cast(user_id % 5 as varchar) as namespace, event_id, event_type = 'error' as junk,
+   epoch_us(ts) + cast('0x' || substr(md5(cast(event_id as varchar)), 15, 2) as bigint) % 240 * 1000000 as seq,
+   strftime(ts, '%Y-%m-%d %H:%M:%S') as timestamp, event_type as message, props,
+   substr(md5(cast(event_id as varchar)), 1, 6) || '-' || substr(md5(cast(event_id as varchar)), 7, 6) || '-'
+     || substr(md5(cast(event_id as varchar)), 13, 2) as "mailId" from events),
+ parsed as (select namespace, seq, event_id, "mailId", timestamp, message from lines where not junk),
+ stored as (select * from parsed where timestamp < '2024-01-16'),
+ last as (select namespace, max(timestamp) as last from stored group by 1)
+"""

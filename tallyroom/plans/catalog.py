@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyroom.plans import attendance, mail
+from tallyroom.plans import attendance, events, mail
 
-_AREAS = [attendance, mail]
+_AREAS = [attendance, mail, events]
 
 QUERIES = {name: query for area in _AREAS for name, query in area.QUERIES.items()}
 ORACLES = {name: sql for area in _AREAS for name, sql in area.ORACLES.items()}
