@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroom.functions import mail as fn
+from tallyroom.operators import registry
 from tallyroom.operators.ordered import running
 from tallyroom.sources.tables import update_by_id
 
 BATCH_ROWS = 10
 BAN_SECONDS = 60
-TASK_DATA = "dataset struct<kind:string,rows:array<map<string,string>>>, template struct<kind:string,subject:string>"
-MOCK_TEXT = "Hello! привіт"
 
 
 def active_tasks(tasks: DataFrame) -> DataFrame:
@@ -25,9 +24,7 @@ def oldest_task_first(tasks: DataFrame) -> DataFrame:
 
 def inline_rows(tasks: DataFrame) -> DataFrame:
     """One record ``(taskId, pos, rowId, row)`` per dataset row stored in a task."""
-    data = F.from_json("data", TASK_DATA)
-    return tasks.select(F.col("id").alias("taskId"), F.posexplode(data["dataset"]["rows"]).alias("pos", "row")).select(
-        "taskId", "pos", fn.row_key(F.col("row")).alias("rowId"), "row")
+    return registry.inline_dataset(tasks)
 
 
 def distinct_row_ids(rows: DataFrame) -> DataFrame:
@@ -68,15 +65,7 @@ def batch_chunks(pending: DataFrame, size: int = BATCH_ROWS, hash_digits: int =
 
 def render_message(rows: DataFrame, tasks: DataFrame, sender: str) -> DataFrame:
     """Messages of ``rows(taskId, rowId, row)`` by the template of each row's task."""
-    templates = tasks.select(
-        F.col("id").alias("taskId"), F.from_json("data", TASK_DATA)["template"]["subject"].alias("subject"))
-    return rows.join(templates, "taskId").select(
-        "taskId", "rowId",
-        F.array(F.col("row")["address"]).alias("recipients"),
-        F.lit(sender).alias("from"),
-        "subject",
-        F.lit(MOCK_TEXT).alias("contentText"),
-    )
+    return registry.messages(rows, tasks, sender)
 
 
 def stop_batch_on_failure(attempts: DataFrame) -> DataFrame:

@@ -7,11 +7,13 @@ by the rows of one sheet.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.functions import cells as fn
-from tallyroom.operators import sheets
+from tallyroom.operators import registry, sheets
 from tallyroom.operators.dictionary import columns_table, types_table
 from tallyroom.operators.ordered import running
 
@@ -99,7 +101,7 @@ def pair_values(marked: DataFrame, join_conditions: bool = False) -> DataFrame:
     """
     single = F.col("first_row") == F.col("row_idx")
     take = single | (F.lit(join_conditions) & (F.col("kind") == "code"))
-    code = F.when(F.col("field") == "block", fn.block_condition(F.col("c2"))).otherwise(F.col("c2"))
+    code = registry.transform_value(F.col("field"), F.col("c2"))
     rows = marked.where((F.col("kind") != "table") & take).withColumn("code", F.when(F.col("kind") == "code", code))
     if join_conditions:
         rows = and_conditions(rows)
@@ -294,21 +296,59 @@ def nest_items_in_groups(rows: DataFrame) -> DataFrame:
                          fn.json_object(F.filter(parts, lambda f: f["v"].isNotNull())).alias("v"))
 
 
+def _entries(df: DataFrame, sub: int, k: Column, v: Column, seq: str = "title_row") -> DataFrame:
+    return df.select(*Q, F.col(seq).alias("seq"), F.lit(sub).alias("sub"), k.alias("k"), v.alias("v"))
+
+
+def conjoint_entries(rows: DataFrame, built: DataFrame) -> DataFrame:
+    return _entries(property_list(built), 2, F.lit("properties"), F.col("properties"))
+
+
+def matrix_entries(rows: DataFrame, built: DataFrame) -> DataFrame:
+    groups = nest_items_in_groups(rows).groupBy(*Q).agg(
+        fn.json_array(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "v"))), lambda x: x["v"])).alias("g"))
+    items = built.where(F.col("field") == "groupItems").join(groups, Q, "left")
+    return _entries(items, MATRIX, F.lit("items"), F.coalesce("g", F.lit("[]")))
+
+
+def alias_entries(rows: DataFrame, built: DataFrame) -> DataFrame:
+    tables = built.where(F.col("field") == "aliases").join(alias_code(rows), TABLE, "left")
+    return _entries(tables, ALIASES, F.lit("code"), fn.json_quote(F.coalesce("code", F.lit(""))))
+
+
+# What follows a table once it is applied: ``(rows, built tables) -> entries`` by table field.
+MATRIX, ALIASES = 3, 4
+POST_PROCESSORS = {"conjointItems": conjoint_entries, "groupItems": matrix_entries, "aliases": alias_entries}
+# Tables whose own array does not stay in the document.
+REPLACED = ["groupItems", "aliases"]
+
+
+def post_process(rows: DataFrame, built: DataFrame, processors: dict | None = None) -> DataFrame:
+    """Entries of all post-processors."""
+    found = [p(rows, built) for p in (POST_PROCESSORS if processors is None else processors).values()]
+    return reduce(DataFrame.unionByName, found)
+
+
 def table_entries(rows: DataFrame, tables: DataFrame) -> DataFrame:
     """Properties that tables add to their questions, post-processing included."""
     built = build_rows(rows, tables)
-    at = lambda sub: [F.col("title_row").alias("seq"), F.lit(sub).alias("sub")]
-    lit = lambda k: F.lit(k).alias("k")
-    plain = built.where(~F.col("field").isin("groupItems", "aliases")).select(*Q, *at(0), F.col("prop").alias("k"), F.col("items").alias("v"))
-    shuffle = shuffle_summary(rows).where(F.col("shuffleItems").isNotNull()).select(*Q, *at(1), lit("shuffleItems"), F.col("shuffleItems").alias("v"))
-    names = property_list(built).select(*Q, *at(2), lit("properties"), F.col("properties").alias("v"))
-    groups = nest_items_in_groups(rows).groupBy(*Q).agg(
-        fn.json_array(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "v"))), lambda x: x["v"])).alias("g"))
-    matrix = built.where(F.col("field") == "groupItems").join(groups, Q, "left").select(
-        *Q, *at(3), lit("items"), F.coalesce("g", F.lit("[]")).alias("v"))
-    aliases = built.where(F.col("field") == "aliases").join(alias_code(rows), TABLE, "left").select(
-        *Q, *at(4), lit("code"), fn.json_quote(F.coalesce("code", F.lit(""))).alias("v"))
-    return plain.unionByName(shuffle).unionByName(names).unionByName(matrix).unionByName(aliases)
+    plain = _entries(built.where(~F.col("field").isin(*REPLACED)), 0, F.col("prop"), F.col("items"))
+    shuffle = _entries(shuffle_summary(rows).where(F.col("shuffleItems").isNotNull()), 1, F.lit("shuffleItems"), F.col("shuffleItems"))
+    return plain.unionByName(shuffle).unionByName(post_process(rows, built))
+
+
+# How a kind of field applies: ``(marked rows, item rows, tables) -> entries`` by kind. The
+# matching half of a kind is its predicate, see ``first_match``.
+FIELD_KINDS = {
+    "pair": lambda marked, items, tables: pair_values(marked.where(F.col("kind") == "pair")),
+    "code": lambda marked, items, tables: pair_values(marked.where(F.col("kind") == "code")),
+    "table": lambda marked, items, tables: table_entries(items, tables),
+}
+
+
+def apply_fields(marked: DataFrame, items: DataFrame, tables: DataFrame, kinds: dict | None = None) -> DataFrame:
+    """Entries of all kinds of fields."""
+    return reduce(DataFrame.unionByName, [k(marked, items, tables) for k in (FIELD_KINDS if kinds is None else kinds).values()])
 
 
 def fold_question(heads: DataFrame, entries: DataFrame) -> DataFrame:
@@ -321,8 +361,8 @@ def fold_question(heads: DataFrame, entries: DataFrame) -> DataFrame:
     listed = entries.groupBy(*Q).agg(F.sort_array(F.collect_list(F.struct("seq", "sub", "k", "v"))).alias("e"))
     kv = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
     joined = heads.where(F.col("fatal").isNull()).join(listed, Q, "left").withColumn("e", F.coalesce("e", F.array().cast(ENTRY)))
-    matrix = F.exists("e", lambda x: x["sub"] == 3)
-    alias_at = F.get(F.filter("e", lambda x: x["sub"] == 4), 0)["seq"]
+    matrix = F.exists("e", lambda x: x["sub"] == MATRIX)
+    alias_at = F.get(F.filter("e", lambda x: x["sub"] == ALIASES), 0)["seq"]
     kept = F.filter("e", lambda x: (~F.col("_matrix") | (x["k"] != "_groups")) & (F.col("_alias").isNull() | (x["seq"] >= F.col("_alias"))))
     fields = F.transform(kept, lambda x: F.struct(x["k"], x["v"]))
     opening = F.when(F.col("_alias").isNotNull(), F.array(kv("type", F.lit('"JsCode"')))).otherwise(

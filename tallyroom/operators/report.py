@@ -61,8 +61,7 @@ def convert(cells: DataFrame) -> DataFrame:
 
     lost = qs.table_fatals(tables)
     heads = heads.join(lost, qs.Q, "left").withColumn("fatal", F.coalesce("fatal", "table_fatal")).drop("table_fatal")
-    entries = qs.pair_values(marked).unionByName(qs.table_entries(items, tables))
-    docs = qs.fold_question(heads, entries)
+    docs = qs.fold_question(heads, qs.apply_fields(marked, items, tables))
 
     told = qs.question_errors(placed, marked, items, tables)
     errors = told.groupBy(*qs.Q).agg(F.sort_array(F.collect_list(F.struct("part", "seq", "sub", "error"))).alias("_e"))
