@@ -165,6 +165,18 @@ def late_data(events: DataFrame, order: list[str], block: Column, start: DataFra
     return judged, final.unionByName(untouched)
 
 
+def ban_sessions(failures: DataFrame, seconds: int) -> DataFrame:
+    """Failures merged into periods that end ``seconds`` after the last one.
+
+    A failure exactly at the end starts a new period, and session windows merge at their
+    end, so the gap is a microsecond short and the end puts it back.
+    """
+    session = F.session_window("fail_ts", f"{seconds * 1000000 - 1} microseconds").alias("s")
+    return failures.groupBy("provider", session).agg(F.count("*").alias("n_failures")).select(
+        "provider", F.col("s.start").alias("ban_start"),
+        (F.col("s.end") + F.expr("interval 1 microsecond")).alias("ban_end"), "n_failures")
+
+
 def ban_periods(failures: DataFrame, seconds: int = 60) -> DataFrame:
     """Exclusion periods of ``(provider, fail_ts)``: each failure moves the end.
 
@@ -172,6 +184,4 @@ def ban_periods(failures: DataFrame, seconds: int = 60) -> DataFrame:
     second in the session merge, however often it failed.
     """
     once = failures.select("provider", "fail_ts").distinct()
-    return once.groupBy("provider", F.session_window("fail_ts", f"{seconds} seconds").alias("s")).agg(
-        F.count("*").alias("n")).select(
-        "provider", F.col("s.start").alias("ban_start"), F.col("s.end").alias("ban_end"))
+    return ban_sessions(once, seconds).drop("n_failures")

@@ -108,6 +108,16 @@ def _cells() -> list[dict]:
 CELLS = _cells()
 
 
+CELL = "r int, c int, kind string, value string, fmt string, sheet int"
+
+
+def _templates() -> list[dict]:
+    """The cells of every layout and remainder, so that parts meet them by equality."""
+    return [{"_layout": layout, "sixth": sixth, "cells": [
+        c for c in CELLS if c["layout"] in ("all", layout) and c["sixth"] in (-1, sixth)]}
+        for layout in ["plain", *sorted(set(LAYOUTS.values()))] for sixth in range(6)]
+
+
 def cells(spark: SparkSession, d: str) -> DataFrame:
     """``(workbook_id, sheet_idx, row_idx, col_idx, cell_type, str, num, bool, fmt)``."""
     key, size = F.col("p_partkey"), F.col("p_size")
@@ -120,9 +130,8 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
     parts = read_table(spark, d, "part").withColumn("_shard", shard).select(
         "*", F.concat_ws("/", "p_brand", "_shard").alias("workbook_id"),
         (F.row_number().over(within) - 1).alias("_n"), qtype.alias("_qtype")).withColumn("_layout", layout)
-    template = F.broadcast(fixed_rows(spark, CELLS, "layout string, r int, c int, kind string, value string, sixth int, fmt string, sheet int"))
-    placed = parts.join(template, F.col("layout").isin("all") | (F.col("layout") == F.col("_layout"))).where(
-        (F.col("sixth") == -1) | (F.col("sixth") == size % 6))
+    template = F.broadcast(fixed_rows(spark, _templates(), f"_layout string, sixth int, cells array<struct<{CELL}>>"))
+    placed = parts.withColumn("sixth", size % 6).join(template, ["_layout", "sixth"]).select("*", F.inline("cells"))
     own_id = (F.col("value") == "{qid}") & (key % 10 != 0)
     mark = F.when(size % 10 == 9, "maybe").when(size % 3 == 0, "-").otherwise("+")
     value = F.col("value")

@@ -227,11 +227,11 @@ def error_text(spark, d):
 
 
 def fold_question(spark, d):
-    return _questions(spark, d).where(F.col("fatal").isNull()).select(*qs.Q, "qid", "qtype", fn.compact(F.col("doc")).alias("body"))
+    return report.convert(grid.cells(spark, d)).where(F.col("fatal").isNull()).select(*qs.Q, "qid", "qtype", fn.compact(F.col("doc")).alias("body"))
 
 
 def question_errors(spark, d):
-    return _questions(spark, d).select(*qs.Q, F.array_join("errors", "\n").alias("errors"), "fatal")
+    return report.convert(grid.cells(spark, d)).select(*qs.Q, F.array_join("errors", "\n").alias("errors"), "fatal")
 
 
 def duplicate_qids(spark, d):
@@ -261,7 +261,7 @@ def result_json(spark, d):
 
 def code_unquote(spark, d):
     """Question documents with their code out of quotes."""
-    return _questions(spark, d).where(F.col("fatal").isNull()).select(*qs.Q, fn.code_unquote(F.col("doc")).alias("code"))
+    return report.convert(grid.cells(spark, d)).where(F.col("fatal").isNull()).select(*qs.Q, fn.code_unquote(F.col("doc")).alias("code"))
 
 
 def _catalog(spark, d):

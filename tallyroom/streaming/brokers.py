@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyroom.operators.events import ban_sessions
 from tallyroom.operators.mail import config_drift
 from tallyroom.sources.logs import write_batch
 from tallyroom.streaming.logs import drain
@@ -20,10 +21,7 @@ def ban_state(spark: SparkSession, failures: DataFrame, target: str, seconds: in
     ``spark.sql.sessionWindow.merge.sessions.in.local.partition`` is on, so a provider
     that fails all the time costs few rows.
     """
-    once = failures.withWatermark("fail_ts", delay)
-    periods = once.groupBy("provider", F.session_window("fail_ts", f"{seconds} seconds").alias("s")).agg(
-        F.count("*").alias("n_failures")).select(
-        "provider", F.col("s.start").alias("ban_start"), F.col("s.end").alias("ban_end"), "n_failures")
+    periods = ban_sessions(failures.withWatermark("fail_ts", delay), seconds)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, target, batch_id)
