@@ -157,11 +157,11 @@ def provider_has_tasks(providers: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def providers_without_tasks(providers: DataFrame, tasks: DataFrame) -> DataFrame:
-    return providers.select("id").subtract(tasks.select(F.col("provider").alias("id")))
+    return providers.select("id").subtract(distinct_providers(tasks).withColumnRenamed("provider", "id"))
 
 
 def ids_minus_sent(ids: DataFrame, sent: DataFrame) -> DataFrame:
-    return ids.select("taskId", "rowId").subtract(sent.select("taskId", "rowId"))
+    return ids.select("taskId", "rowId").subtract(sent.select("taskId", "rowId").distinct())
 
 
 def banned_until(failures: DataFrame, seconds: int = BAN_SECONDS) -> DataFrame:

@@ -24,17 +24,22 @@ def running(
     sums: dict[str, Column] | None = None,
     mins: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
+    partitioned: bool = False,
 ) -> DataFrame:
     """Add running sums and minima up to and with each row, and values of the row before.
 
     Keys and order columns must not be null, and the order must be total within a key.
+    The rows are spread by key and bucket explicitly, since a coarser partitioning left by
+    an earlier join on the keys would satisfy the window too and keep a hot key whole;
+    ``partitioned`` says that they already are spread so.
     """
     sums, mins, previous = sums or {}, mins or {}, previous or {}
     cut = df.withColumn(_BUCKET, bucket)
     inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    local = cut.select(
+    spread = cut if partitioned else cut.repartition(*keys, _BUCKET)
+    local = spread.select(
         "*",
         *[F.sum(e).over(upto).alias(f"_l_{n}") for n, e in sums.items()],
         *[F.min(e).over(upto).alias(f"_l_{n}") for n, e in mins.items()],
@@ -68,6 +73,18 @@ def running(
     )
 
 
+def range_width(df: DataFrame, position: Column, rows: int = 3_000_000, least: int = 60, most: int = 86400) -> int:
+    """Width of ranges of ``position`` that hold about ``rows`` rows each.
+
+    One narrow aggregate over the table; its single row decides the width, so the same
+    query cuts a hot key into few ranges on little data and into many on much.
+    """
+    n, low, high = df.agg(F.count("*"), F.min(position), F.max(position)).first()
+    if not n or high == low:
+        return most
+    return int(min(most, max(least, (high - low) * rows / n)))
+
+
 def with_halo(
     df: DataFrame, seconds: Column, width: int, before: int = 0, after: int = 0
 ) -> DataFrame:

@@ -55,12 +55,13 @@ def row_facts(cells: DataFrame) -> DataFrame:
     """One record per present row of the first sheet, with its cells in column order.
 
     A row holds at most the columns of the sheet format, so its cells fit in one record.
+    Cells are spread by workbook and range of rows, which serves the ordered steps after it.
     """
-    valued = with_values(first_sheet(cells))
+    valued = with_values(first_sheet(cells)).withColumn("row_block", row_bucket()).repartition("workbook_id", "row_block")
     at = lambda i, what: F.max(F.when(F.col("col_idx") == i, F.col(what)))
     blank = fn.is_blank(F.col("text"))
     cell = F.struct("col_idx", "text", "literal")
-    facts = valued.groupBy("workbook_id", "row_idx").agg(
+    facts = valued.groupBy("workbook_id", "row_block", "row_idx").agg(
         F.coalesce(at(0, "text"), F.lit("")).alias("c0"),
         F.coalesce(at(1, "text"), F.lit("")).alias("c1"),
         F.coalesce(at(2, "text"), F.lit("")).alias("c2"),
@@ -98,12 +99,13 @@ def split_questions(rows: DataFrame) -> DataFrame:
     flag = lambda c: F.when(c, F.lit(1)).otherwise(F.lit(0))
     starts = starts_question(F.col("c0"))
     counted = running(
-        rows, ["workbook_id"], ["row_idx"], row_bucket(),
+        rows, ["workbook_id"], ["row_idx"], F.col("row_block") if "row_block" in rows.columns else row_bucket(),
+        partitioned="row_block" in rows.columns,
         sums={"_kept": flag(~F.col("skipped")), "_starts": flag(starts), "_labelled": flag(F.col("c1") != "")},
         mins={"_lead": F.when(~F.col("skipped"), F.struct("row_idx", flag(starts).alias("starts")))})
     orphan = F.when(F.col("_lead.starts") == 0, F.lit(1)).otherwise(F.lit(0))
     return counted.where(F.col("_kept") > 0).select(
-        *rows.columns,
+        *[c for c in rows.columns if c != "row_block"],
         (F.col("_starts") + orphan).alias("q_seq"),
         F.when(F.col("c1") != "", F.col("row_idx") - F.col("_labelled")).alias("island"))
 

@@ -45,7 +45,8 @@ def card_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def last_reading(spark: SparkSession, d: str) -> DataFrame:
-    return op.previous_reading(b.readings(spark, d)).select(
+    rows = b.readings(spark, d)
+    return op.previous_reading(rows, width=b.reading_width(rows)).select(
         "event_id", "tagId", "time", "action", "prev_time", "prev_action")
 
 
@@ -54,7 +55,8 @@ def last_reading_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def void_last_reading(spark: SparkSession, d: str) -> DataFrame:
-    return op.void_readings(b.reading_log(spark, d)).select("event_id", "tagId", "time", "action")
+    log = b.reading_log(spark, d)
+    return op.void_readings(log, width=b.reading_width(log)).select("event_id", "tagId", "time", "action")
 
 
 def void_last_reading_once(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyroom.functions import attendance as att
+from tallyroom.operators.ordered import range_width
 from tallyroom.sources.tables import read_table
 
 # Which event records which action; the remaining kind asks for voiding.
@@ -259,15 +260,19 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(F.concat_ws(" ", stamp, mail_id, F.col("event_type"))).alias("value"))
 
 
-def log_hour(seq="seq"):
-    """Hour of arrival, the range in which ordered operators cut a namespace."""
-    return F.floor(F.col(seq) / 3600000000).cast("bigint")
+def log_range(lines: DataFrame):
+    """Ranges of arrival time in which ordered operators cut a namespace, sized by the data."""
+    return F.floor(F.col("seq") / F.lit(1000000 * range_width(lines, F.floor(F.col("seq") / 1000000)))).cast("bigint")
 
 
 def log_segments(lines: DataFrame) -> DataFrame:
-    """Lines with the day of arrival as their segment."""
-    day = F.lpad(F.floor(F.col("seq") / 86400000000).cast("string"), 8, "0")
-    return lines.withColumn("segment", day)
+    """Lines with a segment, as a rotation by size would cut the log."""
+    return lines.withColumn("segment", F.lpad(log_range(lines).cast("string"), 10, "0"))
+
+
+def reading_width(log: DataFrame) -> int:
+    """Width of time ranges for readings, never less than the longest lookback."""
+    return range_width(log, att.stamp_seconds(F.col("time")), least=600)
 
 
 EVENTS_SQL = """

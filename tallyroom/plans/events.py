@@ -44,12 +44,12 @@ def event_not_seen(spark: SparkSession, d: str) -> DataFrame:
 
 
 def out_of_order(spark: SparkSession, d: str) -> DataFrame:
-    return op.out_of_order(_parsed(spark, d), ORDER, b.log_hour()).select(
+    return op.out_of_order(_parsed(spark, d), ORDER, b.log_range(b.log_lines(spark, d))).select(
         "namespace", "event_id", "timestamp", "previous")
 
 
 def late_data(spark: SparkSession, d: str) -> DataFrame:
-    judged, _ = op.late_data(_parsed(spark, d), ORDER, b.log_hour())
+    judged, _ = op.late_data(_parsed(spark, d), ORDER, b.log_range(b.log_lines(spark, d)))
     return judged.select("namespace", "event_id", "timestamp", "kept", "late", "check")
 
 
@@ -103,7 +103,7 @@ def restart_point(spark: SparkSession, d: str) -> DataFrame:
 
 def backpressure_batch(spark: SparkSession, d: str) -> DataFrame:
     target = new_folder(spark, "events")
-    streams.ingest(spark, _landed(spark, d), target, max_files=64)
+    streams.ingest(spark, _landed(spark, d), target, max_files=8)
     return logs.read_batches(spark, target)
 
 

@@ -11,14 +11,15 @@ from tallyroom.sources.logs import write_batch
 from tallyroom.streaming.logs import drain
 from tallyroom.workspace import new_folder
 
+MERGE_LOCALLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
 
 def ban_state(spark: SparkSession, failures: DataFrame, target: str, seconds: int = 60,
               delay: str = "0 seconds") -> None:
     """Exclusion periods of a stream ``(provider, fail_ts timestamp)``, written once they are over.
 
     A session that closes ``seconds`` after its last failure is the exclusion: each failure
-    moves its end. Sessions are merged within each task before the shuffle when
-    ``spark.sql.sessionWindow.merge.sessions.in.local.partition`` is on, so a provider
+    moves its end. Sessions are merged within each task before the shuffle, so a provider
     that fails all the time costs few rows.
     """
     periods = ban_sessions(failures.withWatermark("fail_ts", delay), seconds)
@@ -26,7 +27,12 @@ def ban_state(spark: SparkSession, failures: DataFrame, target: str, seconds: in
     def write(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, target, batch_id)
 
-    drain(periods.writeStream.outputMode("append").foreachBatch(write), new_folder(spark, "checkpoint"))
+    before = spark.conf.get(MERGE_LOCALLY)
+    spark.conf.set(MERGE_LOCALLY, "true")
+    try:
+        drain(periods.writeStream.outputMode("append").foreachBatch(write), new_folder(spark, "checkpoint"))
+    finally:
+        spark.conf.set(MERGE_LOCALLY, before)
 
 
 def poll_changes(spark: SparkSession, snapshots: DataFrame, target: str) -> None:
