@@ -118,7 +118,7 @@ def task_update(tasks: DataFrame, changes: DataFrame) -> DataFrame:
     return update_by_id(tasks, changes, "id", ["state", "timeLastProcessed"])
 
 
-def task_progress(tasks: DataFrame, recipients: DataFrame, pending: DataFrame, providers: DataFrame) -> DataFrame:
+def task_progress(tasks: DataFrame, pending: DataFrame, providers: DataFrame) -> DataFrame:
     """``running`` for tasks with pending rows, ``done`` for those without."""
     left = pending.groupBy("taskId").agg(F.count("*").alias("n_pending"))
     loaded = tasks_with_provider(active_tasks(tasks), providers)

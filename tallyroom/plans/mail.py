@@ -12,7 +12,6 @@ from tallyroom.sources.tables import read_table
 from tallyroom.workspace import new_folder
 
 SENDER = "bot@example.org"
-BAN_AS_OF = "2024-01-10 08:00:00"
 
 
 def _recipients(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +98,7 @@ def task_update(spark: SparkSession, d: str) -> DataFrame:
 
 
 def task_progress(spark: SparkSession, d: str) -> DataFrame:
-    return op.task_progress(b.task_heads(spark, d), None, _pending(spark, d), b.providers(spark, d))
+    return op.task_progress(b.task_heads(spark, d), _pending(spark, d), b.providers(spark, d))
 
 
 def in_flight(spark: SparkSession, d: str) -> DataFrame:
