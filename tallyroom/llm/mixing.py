@@ -131,7 +131,8 @@ def copies(docs: DataFrame) -> DataFrame:
         (F.col("rate") - F.floor("rate")).alias("p"), F.floor("rate").alias("given"), F.lit(False).alias("done"))
     buckets, found = -(-most // BUCKET), []
     while True:
-        dealt = level.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "doc_id", "row")
+        # Large documents first, so that the one left over tends to be a small one.
+        dealt = level.repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.col("size").desc(), "doc_id", "row")
         level = written(dealt.mapInArrow(_round(buckets <= 1), SCHEMA), "rounded")
         found.append(level.where("done"))
         if buckets <= 1:
