@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyroom.llm import grace, mixing, orc_tokens, packing, sharding, simhash
+from tallyroom.llm import grace, mixing, orc_tokens, packing, quality, sharding, simhash
 
-_PARTS = [orc_tokens, simhash, grace, sharding, mixing, packing]
+_PARTS = [orc_tokens, simhash, grace, sharding, mixing, packing, quality]
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
