@@ -21,11 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import documents
+from tallyroom.llm.common import documents, written
 from tallyroom.llm.tokens import encoder, ended, vocabulary_path
 from tallyroom.workspace import new_folder
 
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
+#: Documents whose ids are handed over at once.
+ROWS = 1000
+#: Where each file begins is broadcast up to so many files, 12 bytes each.
+FEW_FILES = 200_000
 OPTIONS = {
     "compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000",
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(64 << 20),
@@ -38,7 +42,7 @@ def write(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str | None =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             ids, ends = ended(*coder.encode(batch.column("text")), end_id)
             lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(ids.view(np.int32), pa.int32()))
             n = batch.num_rows
@@ -52,12 +56,20 @@ def write(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str | None =
     ordered.mapInArrow(encode, SCHEMA).write.options(**OPTIONS | (options or {})).orc(path)
 
 
+def _starts(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` with ``part`` and ``local_start`` replaced by ``start``."""
+    spark = rows.sparkSession
+    totals = spark.read.schema(SCHEMA).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each file
+    before = written(totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")), "starts")
+    if before.count() <= FEW_FILES:
+        before = F.broadcast(before)
+    rest = [c for c in rows.columns if c not in ("part", "doc_id", "local_start")]
+    return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), *rest)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Rows ``doc_id, start, n_tokens, ids`` of the files; ``start`` counts the ids of all documents before."""
-    rows = spark.read.schema(SCHEMA).orc(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each file
-    before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    return _starts(spark.read.schema(SCHEMA).orc(path), path)
 
 
 def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -65,8 +77,8 @@ def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     return spark.read.schema(SCHEMA).orc(path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "n_tokens", "ids")
 
 
-def digests(rows: DataFrame) -> DataFrame:
-    """``ids`` replaced by the CRC-32 of them as little-endian unsigned 32-bit integers."""
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """Rows ``doc_id, start, n_tokens, ids_crc32`` of the files: the CRC-32 of the ids as little-endian unsigned 32-bit integers."""
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,17 +86,17 @@ def digests(rows: DataFrame) -> DataFrame:
             flat = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)).astype("<u4", copy=False)
             ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             crcs = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crcs, pa.int64())],
-                ["doc_id", "start", "n_tokens", "ids_crc32"])
+            names = ["part", "doc_id", "local_start", "n_tokens"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(crcs, pa.int64())], [*names, "ids_crc32"])
 
-    return rows.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = spark.read.schema(SCHEMA).orc(path)
+    return _starts(rows.mapInArrow(crc, "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long"), path)
 
 
 def op2_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "token-ids")
     write(documents(spark, sf_dir), path)
-    return digests(read(spark, path))
+    return digests(spark, path)
 
 
 QUERIES = {"op2_orc_token_ids": op2_orc_token_ids}

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Chunks that a worker knows, and as many of the time before.
-KNOWN = 600_000
+KNOWN = 250_000
 #: Bytes of texts that are cut and put together at once.
 SLICE = 8 << 20
 #: Pieces that need no look at Unicode classes: letters, digits, marks without the apostrophe, a lone newline.
