@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyroom.llm import grace, lines, mixing, orc_tokens, packing, quality, sharding, simhash, toxicity
+from tallyroom.llm import grace, lines, mixing, orc_tokens, packing, quality, quotes, sharding, simhash, toxicity
 
-_PARTS = [orc_tokens, simhash, grace, sharding, lines, mixing, packing, quality, toxicity]
+_PARTS = [quotes, orc_tokens, simhash, grace, sharding, lines, mixing, packing, quality, toxicity]
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
