@@ -69,15 +69,16 @@ def linked(messages: DataFrame) -> DataFrame:
     before = nodes.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("before"))
     parents = nodes.join(links, ["conv_id", "turn"], "left").join(before, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", F.coalesce("reply_to", "before").alias("reply_to"), F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"))
-    tree = written(parents.select("*", F.coalesce("reply_to", "turn").alias("thread"), F.col("reply_to").isNotNull().cast("long").alias("depth")), "tree")
-    while True:  # the pointers' reach doubles each time
-        far = tree.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("next"), F.col("depth").alias("more"))
-        new = written(tree.join(far, ["conv_id", "thread"]).select(
+    tree = written(parents.select("*", F.coalesce("reply_to", "turn").alias("thread"), F.col("reply_to").isNotNull().cast("long").alias("depth"),
+                                  F.col("reply_to").isNull().alias("done")), "tree")
+    done, open_ = tree.where("done"), tree.where("not done")
+    while not open_.isEmpty():  # the pointers' reach doubles each time; a message whose target is settled is settled
+        far = done.unionAll(open_).select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("next"), F.col("depth").alias("more"), F.col("done").alias("reached"))
+        new = written(open_.join(far, ["conv_id", "thread"]).select(
             "conv_id", "turn", "reply_to", "n_quoted", F.col("next").alias("thread"), (F.col("depth") + F.col("more")).alias("depth"),
-            (F.col("next") != F.col("thread")).alias("moved")), "tree")
-        tree = new.drop("moved")
-        if new.where("moved").limit(1).count() == 0:
-            break
+            F.col("reached").alias("done")), "tree")
+        done, open_ = done.unionAll(new.where("done")), new.where("not done")
+    tree = done
     names = [c for c in messages.columns if c not in ("reply_to", "thread", "depth", "n_quoted", "said")]
     placed = rows.alias("m").join(tree.alias("t"), (F.col("m.conv_id") == F.col("t.conv_id")) & (F.col("m.turn") == F.col("t.turn")), "left")
     return placed.select(*[F.col(f"m.`{c}`") for c in names], "t.reply_to", F.coalesce("t.thread", "m.turn").alias("thread"),
