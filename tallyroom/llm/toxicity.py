@@ -5,11 +5,12 @@ at least ``LEAST`` toxic documents and ``TIMES`` as often in toxic ones as in ot
 there are of each, at most ``ENTRIES`` of either, the strongest first. A document is then described by the
 density and number of such words, how often one stands near a second-person word, and by
 rates of capitals, exclamation and question marks, other marks and obfuscated words. Trees learn from at most
-``SAMPLE`` rows, taken by a hash of the id; isotonic regression on training rows that the trees did not see turns
+``SAMPLE`` labelled ids, taken by a hash; isotonic regression on training rows that the trees did not see turns
 their scores into probabilities.
 
 Rows whose CRC-32 of the id has remainder 2 by 4 are held out: nothing is learned from them. Null and empty
-texts have all rates 0 and are scored like others. Labels that are null count for nothing. With one class
+texts have all rates 0 and are scored like others. Labels that are null count for nothing, equal labels
+of one id count once, and of rows that share an id the least text is learned from. With one class
 only, or none, every score is the share of toxic training rows, 0 if there are none.
 """
 
@@ -83,12 +84,23 @@ def features(docs: DataFrame, words: list[str], stems: list[str], keep: list[str
     return rows.select(*keep, *[v.cast("double").alias(f) for v, f in zip(values, FEATURES)])
 
 
+def chosen(labels: DataFrame) -> DataFrame:
+    """``doc_id, toxic`` of training labels, at most SAMPLE: the leading parts of their hashes that fit."""
+    keys = written(labels.where("toxic is not null and doc_id is not null").where(_part(F.col("doc_id")) != 2).select("doc_id", "toxic").distinct(), "labels")
+    parts = max(1, -(-64 * keys.count() // SAMPLE))
+    marked = keys.withColumn("part", F.pmod(F.xxhash64("doc_id", "toxic"), F.lit(parts)))
+    sizes = {r["part"]: r["count"] for r in marked.where("part < 64").groupBy("part").count().collect()}
+    last, rows = 0, 0
+    while last < min(parts, 64) and rows + sizes.get(last, 0) <= SAMPLE:
+        rows, last = rows + sizes.get(last, 0), last + 1
+    return marked.where(F.col("part") < last).select("doc_id", "toxic")
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    known = labels.where("toxic is not null").select(F.col("doc_id").alias("_id"), "toxic")
-    part = _part(F.col("doc_id"))
-    train = docs.join(known, F.col("doc_id") == F.col("_id")).where(part != 2).select("doc_id", "text", "toxic", part.alias("part"))
-    sample = written(train.orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE), "sample")
+    wanted = F.broadcast(chosen(labels)).withColumnRenamed("doc_id", "_id")  # at most SAMPLE rows of numbers
+    train = docs.join(wanted, F.col("doc_id") == F.col("_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = written(train.select("doc_id", "text", "toxic", _part(F.col("doc_id")).alias("part")), "sample")
     words, stems = lexicon(sample)
     table = written(features(sample, words, stems, ["toxic", "part"]), "features")
     counts = {(r["toxic"], r["part"] == 3): r["count"] for r in table.groupBy("toxic", F.col("part")).count().collect()} if words or stems else {}
