@@ -18,7 +18,9 @@ from tallyroom.workspace import new_folder
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
     judged = quality.judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.where("kept").select(*[f"`{c}`" for c in docs.columns])
+    # A filter is not pushed below a generator; pushed down, it would split a text again for each of its windows.
+    columns = [f"`{c}`" for c in docs.columns]
+    return judged.select(*columns, F.explode(F.array("kept")).alias("_passes")).where("_passes").select(*columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
