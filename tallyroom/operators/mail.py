@@ -196,16 +196,20 @@ def config_drift(held: DataFrame, new: DataFrame) -> DataFrame:
 def nested_drift(held: DataFrame, new: DataFrame) -> DataFrame:
     """``config_drift`` for nested configurations given as JSON text.
 
-    Equal texts and flat differences of presence are settled without Python.
+    The four outcomes are the same. Two null configurations are equal, a null and another are not. Only different texts
+    that are both there are compared in Python.
     """
-    h = held.select("id", F.col("config").alias("_hc"), F.col("from").alias("_hf"))
-    n = new.select("id", F.col("config").alias("_nc"), F.col("from").alias("_nf"))
-    both = h.join(n, "id")
-    equal = both.where(F.col("_hc") == F.col("_nc")).withColumn("_same", F.lit(True))
-    other = both.where(~F.col("_hc").eqNullSafe(F.col("_nc")) & F.col("_hc").isNotNull() & F.col("_nc").isNotNull())
-    judged = equal.unionByName(other.withColumn("_same", fn.nested_json_holds("_hc", "_nc")))
-    return judged.select("id", F.when(F.col("_same") & F.col("_hf").eqNullSafe(F.col("_nf")), F.lit("same"))
-                         .otherwise(F.lit("changed")).alias("drift"))
+    h = held.select("id", F.col("config").alias("_hc"), F.col("from").alias("_hf"), F.lit(True).alias("_h"))
+    n = new.select("id", F.col("config").alias("_nc"), F.col("from").alias("_nf"), F.lit(True).alias("_n"))
+    both = h.join(n, "id", "full")
+    differ = F.coalesce(F.col("_hc") != F.col("_nc"), F.lit(False))
+    plain = both.where(~differ).withColumn("_same", F.col("_hc").eqNullSafe(F.col("_nc")))
+    judged = plain.unionByName(both.where(differ).withColumn("_same", fn.nested_json_holds("_hc", "_nc")))
+    return judged.select(
+        "id",
+        F.when(F.col("_h").isNull(), F.lit("new"))
+        .when(F.col("_n").isNull(), F.lit("gone"))
+        .when(F.col("_same") & F.col("_hf").eqNullSafe(F.col("_nf")), F.lit("same")).otherwise(F.lit("changed")).alias("drift"))
 
 
 def require_body(messages: DataFrame) -> DataFrame:

@@ -123,18 +123,17 @@ def tasks_with_provider(spark: SparkSession, d: str) -> DataFrame:
 
 
 def provider_has_tasks(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers' nations as providers of tasks by nation: some have none."""
-    nations = read_table(spark, d, "nation").select(F.col("n_nationkey").alias("id"))
-    used = read_table(spark, d, "customer").where(F.col("c_acctbal") < 0).select(F.col("c_nationkey").alias("provider"))
-    return op.provider_has_tasks(nations, used)
+    """Customers as providers of tasks by event: some have none."""
+    customers = read_table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    used = read_table(spark, d, "events").select(F.col("user_id").alias("provider"))
+    return op.provider_has_tasks(customers, used)
 
 
 def providers_without_tasks(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers with no line items shipped at a discount of at least a tenth in small lots."""
-    suppliers = read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
-    used = read_table(spark, d, "lineitem").where(
-        (F.col("l_discount") >= 0.1) & (F.col("l_quantity") < 2)).select(F.col("l_suppkey").alias("provider"))
-    return op.providers_without_tasks(suppliers, used)
+    """Customers without events."""
+    customers = read_table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    used = read_table(spark, d, "events").select(F.col("user_id").alias("provider"))
+    return op.providers_without_tasks(customers, used)
 
 
 def provider_ban(spark: SparkSession, d: str) -> DataFrame:
@@ -284,10 +283,10 @@ ORACLES = {
     "providers_in_use": _with("""select r_regionkey as id, r_name as name, 'bot' || r_regionkey || '@example.org' as "from"
         from region where r_regionkey in (select provider from tasks where state in ('new', 'running'))"""),
     "tasks_with_provider": _with("select id, provider from tasks where provider not in (2, 4)"),
-    "provider_has_tasks": """select n_nationkey as id, exists (select 1 from customer
-        where c_nationkey = n_nationkey and c_acctbal < 0) as has_tasks from nation""",
-    "providers_without_tasks": """select s_suppkey as id from supplier where s_suppkey not in
-        (select l_suppkey from lineitem where l_discount >= 0.1 and l_quantity < 2)""",
+    "provider_has_tasks": """select c_custkey as id, exists (select 1 from events
+        where user_id = c_custkey) as has_tasks from customer""",
+    "providers_without_tasks": """select c_custkey as id from customer where not exists
+        (select 1 from events where user_id = c_custkey)""",
     "provider_ban": """select s_suppkey as id, s_name as name from supplier where not exists
         (select 1 from lineitem where l_suppkey = s_suppkey and l_returnflag = 'R'
           and l_shipdate <= timestamp '1997-06-01 00:00:30'
@@ -311,8 +310,9 @@ ORACLES = {
         held as (select id, json_extract_string(props, '$.k') as k, f from e where up = 1 and id % 10 <> 0),
         new as (select id, json_extract_string(props, '$.k') as k, f from e
           where (id % 3 = 0 and up = 1 or id % 3 <> 0 and down = 1) and id % 10 <> 1)
-      select h.id, case when h.k = n.k and h.f = n.f then 'same' else 'changed' end as drift
-      from held h join new n on h.id = n.id""",
+      select coalesce(h.id, n.id) as id, case when h.id is null then 'new' when n.id is null then 'gone'
+        when h.k = n.k and h.f = n.f then 'same' else 'changed' end as drift
+      from held h full join new n on h.id = n.id""",
     "require_body": """select doc_id as msg_id, 'Mail should have text or html' as error from documents
         where doc_id % 5 = 0 and doc_id % 7 >= 4""",
     "mime_plan": f"""

@@ -66,6 +66,14 @@ def test_drift(spark):
     assert got == {1: "same", 2: "changed", 3: "changed", 4: "gone", 5: "new"}
 
 
+def test_nested_drift_keeps_every_id(spark):
+    t = "id int, config string, from string"
+    held = spark.createDataFrame([(1, '{"a":[1,2]}', "f"), (2, '{"a":1}', "f"), (3, None, "f"), (4, "{}", "f"), (6, None, "f"), (7, "{}", None)], t)
+    new = spark.createDataFrame([(1, '{"a":[2,1]}', "f"), (2, '{"a":2}', "f"), (3, "{}", "f"), (5, "{}", "f"), (6, None, "f"), (7, "{}", "f")], t)
+    got = {r.id: r.drift for r in op.nested_drift(held, new).collect()}
+    assert got == {1: "same", 2: "changed", 3: "changed", 4: "gone", 5: "new", 6: "same", 7: "changed"}
+
+
 def test_nested_json_is_compared_leniently():
     assert fn.json_holds({"a": [1, {"b": 2}]}, {"a": [{"b": 2, "c": 3}, 1], "x": 0})
     assert not fn.json_holds({"a": [1, 1]}, {"a": [1, 2]})
