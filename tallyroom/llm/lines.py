@@ -1,25 +1,30 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame functions only.
+"""Fuzzy line deduplication by MinHash.
 
-A line is compared by its shingles: runs of ``SHINGLE`` characters after lower-casing and
-folding white space, a shorter line being one shingle. Exact copies are one line from the start.
-For the signature, shingles count whose place is marked by the character before
-(or that start the line), about two in five, which is a rule on content and so the
-same for like lines; lines under ``SHORT`` characters use all, and lines near that length are
-entered both ways, so no like pair is entered differently. Hashes are dealt to ``BINS`` bins
-by their leading bits, each bin's least hash is a MinHash, and an empty bin takes the next one's. Three bins are a
-band; lines that share a band are candidates, which finds a pair of similarity 0.8 in more than 99 of 100 cases.
+A line is compared by its shingles: runs of ``SHINGLE`` characters after lower-casing and folding white space, a
+shorter line being one shingle. Exact copies are one line from the start, so a line shorter than a shingle is like no
+other. All shingles of a line are hashed at once; hashes are dealt to ``BINS`` bins, each bin's least hash is a MinHash,
+and an empty bin takes the next one's. Three bins are a band; lines that share a band are candidates, which finds a
+pair of similarity 0.8 in more than 99 of 100 cases.
 
 Candidates are verified by the exact Jaccard similarity of all shingles. To avoid all pairs of a band's lines, each
 line is first compared with one of them only, in two rounds with different choices, and found components are joined;
 then the pairs that are still in different components are compared, so no link between components is
 lost. One line of each component stays: its first by document and place.
 
+Signatures and verification are array code on Arrow batches; lines, candidates, links and components are joins and
+groupings. A signature takes ``AT_ONCE`` characters of a batch at a time, or one line if that is longer; a
+verified pair needs some 80 bytes for each of its characters.
+
 Blank lines stay as they are. A null or empty text has no lines that count. Rows that share an id count as one
 document for places; rows without an id come last.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,45 +33,76 @@ from tallyroom.llm.components import components
 
 SHINGLE, LIKE = 10, 0.8
 BINS, BAND = 24, 3
-SHORT = 100
 ROUNDS = 2
-#: A shingle counts for the signature unless the character before it is one of these.
-_UNMARKED = "b-df-zB-DF-Z1-46-9\\u00e0-\\u00ff"
+AT_ONCE = 1_000_000
+_FACTOR, _NONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**64 - 1)
 
 
 def folded(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), "\\s+", " "))
 
 
-def shingles(line: Column, marked: bool = False) -> Column:
-    """Shingles in order; the whole line if it is shorter than one."""
-    place = f"(?<![{_UNMARKED}])" if marked else ""
-    found = F.regexp_extract_all(line, F.lit(f"(?s){place}(?=(.{{{SHINGLE}}}))"), 1)
-    return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(found)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def _signatures(texts: list[str]) -> np.ndarray:
+    """A row of BINS MinHashes for each text of SHINGLE characters or more."""
+    sizes = np.array([len(t) for t in texts])
+    h = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(h) - SHINGLE + 1
+    power, at = np.uint64(1), np.zeros(n, np.uint64)
+    for j in range(SHINGLE):
+        at += h[j : j + n] * power
+        power *= _FACTOR
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    inside = np.ones(len(h), bool)  # places whose shingle ends in the same text
+    for j in range(1, SHINGLE):
+        inside[starts + sizes - j] = False
+    inside = inside[:n]
+    at = _mixed(at[inside])
+    key = np.repeat(np.arange(len(texts)), sizes - SHINGLE + 1) * BINS + ((at >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    least = np.full(len(texts) * BINS, _NONE)
+    np.minimum.at(least, key, at)
+    least = least.reshape(-1, BINS)
+    for k in [*range(BINS - 1, -1, -1)] * 2:  # around the end
+        least[:, k] = np.where(least[:, k] == _NONE, least[:, (k + 1) % BINS], least[:, k])
+    return least
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            ids, texts = batch.column("line").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
+            ends = np.cumsum([len(t) for t in texts])
+            cuts = np.flatnonzero(np.diff(ends // AT_ONCE)) + 1
+            for part in np.split(np.arange(len(texts)), cuts):
+                if not len(part):
+                    continue
+                least = _signatures([texts[k] for k in part])
+                keys = np.zeros((len(part), BINS // BAND), np.uint64)
+                for j in range(BAND):
+                    keys = _mixed(keys * _FACTOR + least[:, j::BAND])
+                keys += np.arange(BINS // BAND, dtype=np.uint64)  # the same values in another band are another key
+                yield pa.record_batch({"band": _mixed(keys).view(np.int64).ravel(), "line": np.repeat(ids[part], BINS // BAND)})
 
 
 def bands(lines: DataFrame) -> DataFrame:
     """``band, line``: keys of the bands of each line. ``lines``: line, text."""
-    n = F.char_length("text")
-    low, high = int(SHORT * LIKE), int(SHORT / LIKE)
-    ways = F.when(n < low, F.array(F.lit(False))).when(n <= high, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))
-    rows = lines.select("line", "text", F.explode(ways).alias("marked"))
-    hashed = rows.select("line", "marked", F.sort_array(F.transform(
-        F.when(F.col("marked"), shingles(F.col("text"), True)).otherwise(shingles(F.col("text"))),
-        lambda s: F.shiftrightunsigned(F.xxhash64(s), 1))).alias("h"))
-    # The least hash of each bin that has one, in order: those whose bin differs from the one before.
-    width = (1 << 63) // BINS
-    tagged = hashed.select("line", "marked", F.col("h"), F.transform("h", lambda x: F.floor(x / F.lit(float(width))).cast("int")).alias("b"))
-    least = tagged.select("line", "marked", F.filter(
-        F.zip_with(F.col("h"), F.zip_with(F.col("b"), F.concat(F.array(F.lit(-1)), F.slice("b", 1, F.greatest(F.size("b") - 1, F.lit(0)))),
-                                          lambda b, before: F.when(b != before, b)), lambda h, b: F.when(b.isNotNull(), F.struct(b.alias("b"), h.alias("h")))),
-        lambda x: x.isNotNull()).alias("m"))
-    some = least.where(F.size("m") > 0)
-    # An empty bin takes the least hash of the next bin that has one, around the end.
-    filled = some.select("line", "marked", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda k: F.coalesce(
-        F.get(F.filter("m", lambda x: x["b"] >= k), F.lit(0))["h"], F.get("m", F.lit(0))["h"])).alias("sig"))
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("marked"), *[F.get("sig", F.lit(BAND * i + j)) for j in range(BAND)]) for i in range(BINS // BAND)])
-    return filled.select(F.explode(keys).alias("band"), "line").distinct()
+    return lines.where(F.char_length("text") >= SHINGLE).select("line", "text").mapInArrow(_banded, "band bigint, line bigint")
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = []
+        for x, y in zip(batch.column("x"), batch.column("y")):
+            x, y = x.as_py(), y.as_py()
+            s, t = ({z[k : k + SHINGLE] for k in range(max(1, len(z) - SHINGLE + 1))} for z in (x, y))
+            shared = len(s & t)
+            good.append(shared >= LIKE * (len(s) + len(t) - shared))
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -74,9 +110,7 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     text = lines.select("line", "text")
     both = (pairs.join(text.select(F.col("line").alias("a"), F.col("text").alias("x")), "a")
             .join(text.select(F.col("line").alias("b"), F.col("text").alias("y")), "b"))
-    sets = both.select("a", "b", F.array_distinct(shingles(F.col("x"))).alias("s"), F.array_distinct(shingles(F.col("y"))).alias("t"))
-    shared = sets.select("a", "b", F.size(F.array_intersect("s", "t")).alias("i"), (F.size("s") + F.size("t")).alias("n"))
-    return shared.where(F.col("i") >= LIKE * (F.col("n") - F.col("i"))).select("a", "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_alike, "a bigint, b bigint")
 
 
 def like_lines(lines: DataFrame) -> DataFrame:
@@ -84,6 +118,7 @@ def like_lines(lines: DataFrame) -> DataFrame:
     found = written(bands(lines), "bands")
     shared = found.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     found = written(found.join(shared, "band").select("band", "line"), "bands")
+    lines = written(lines.select("line", "text").join(found.select("line").distinct(), "line", "left_semi"), "candidates")
     links, roots, tried = None, None, None
     for turn in range(ROUNDS + 1):
         rows = found.withColumn("root", F.col("line")) if roots is None else found.join(
