@@ -5,11 +5,15 @@ longest windows are counted. Each occurrence of a shorter phrase is the beginnin
 ``ROLLUP (lang, w1, w2, w3, w4)`` sums the counts of all shorter phrases, of the words and of the whole language.
 
 **Counting at scale.** Most windows occur once, and shuffling four words for each word of the text would cost many times the
-input. Each task therefore counts its windows as integers, some ``CHUNK`` at a time, and sends one row for each pair of first
-words in a chunk, with the rest of its windows as one string. Rows meet by that pair, where the counts of
-the pair, of the triple and of the window are all complete; a window that is rarer than ``LEAST`` gives up its last word,
-a triple its third and a pair its second, since no candidate can come of them. What is left is a small part of the windows,
-and sums of beginnings do not change by it, so the rollup sees exact counts of everything that can matter.
+input. Each task therefore counts its windows as integers, some ``CHUNK`` at a time, and sends one row for each first
+word in a chunk, with all its windows as one string. Rows meet by first word, and for frequent words by one of ``SALTS`` salts
+too, which the second word decides, so a word that opens a third of all windows is spread and yet all windows of a pair of
+words are in one place, sorted to one another. Which words are frequent is read off the beginning of at most ``LOOK`` texts
+before the job starts; that decides where rows go, never what is counted. There the counts of the pair, of the triple and of the window are complete; a window that is
+rarer than ``LEAST`` gives up its last word, a triple its third and a pair its second, since no candidate can come of
+them. What is left is a small part of the windows, and sums of beginnings do not change by it, so the rollup sees exact
+counts of all that matters. A first word whose windows take more than ``HELD`` bytes in one place passes on as it is,
+which the rollup counts alike.
 
 Candidates are phrases of two to ``WORDS`` words that occur ``LEAST`` times. A candidate's score is its count against
 those of its two parts, at its worst cut; it is dropped if a longer candidate holds it and is at least ``SHARE`` percent as
@@ -24,6 +28,8 @@ whatever their names.
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
@@ -36,7 +42,8 @@ from pyspark.sql import functions as F
 from tallyroom.llm.common import LOWER, UPPER, documents, written
 
 WORDS, LEAST, SCALE, SHARE, TOP = 4, 30, 2_000_000, 80, 2000
-CHUNK, SEGMENT = 2_000_000, 4_000_000
+CHUNK, SEGMENT, HELD = 1_000_000, 1_000_000, 32_000_000
+SALTS, LOOK, LOOK_CHARS, OFTEN = 16, 500, 4000, 0.002
 #: A separator is a token of its own, and ends a piece; separators are no part of words.
 _TOKEN = re.compile(rb"[.,;:!?\x0a-\x0d]|[^\x20\x09.,;:!?\x0a-\x0d]+")
 _BLANK = re.compile(rb"[\x20\x09.,;:!?\x0a-\x0d]")
@@ -62,7 +69,8 @@ class _Ids(dict):
 class _Chunk:
     """Windows of a task, until there are ``CHUNK`` of them."""
 
-    def __init__(self) -> None:
+    def __init__(self, hot: frozenset[bytes] = frozenset()) -> None:
+        self.hot = hot
         self.words, self.langs, self.ids = [b""], [b""], {}
         self.windows, self.n = [], 0
 
@@ -78,7 +86,7 @@ class _Chunk:
             ids = self.ids[lang]
             own = list(map(ids.__getitem__, _TOKEN.findall(text, at, end)))
             ahead = [ids[m.group()] for m in islice(_TOKEN.finditer(text, end), WORDS - 1)]
-            lead = np.array(own + ahead + [0] * (WORDS - 1 - len(ahead)), np.int64)
+            lead = np.array(own + ahead + [0] * (WORDS - 1 - len(ahead)), np.int32)
             # Lead columns: the words that follow, none after the end of the piece.
             columns = [lead[: len(own)]]
             for k in range(1, WORDS):
@@ -91,38 +99,125 @@ class _Chunk:
                 yield from self.counted()
 
     def counted(self) -> Iterator[pa.RecordBatch]:
-        """``pair, rest``: of each pair of first words and its language all windows, by tabs, each with its count if above one."""
+        """``word, salt, n, rest``: for each first word (with its language) and salt the number of windows and the windows: lines of a
+        second word, the pair's count and, after commas, third and fourth words, with a count if above one. Separators are no part of words.
+        """
         if not self.n:
             return
-        w = np.concatenate(self.windows, axis=1)
-        size = np.int64(len(self.words))
-        pairs, of = np.unique(w[0] * size + w[1], return_inverse=True)
-        rests, to = np.unique(w[2] * size + w[3], return_inverse=True)
-        found, n = np.unique(of * np.int64(len(rests)) + to, return_counts=True)
-        of, to = found // len(rests), rests[found % len(rests)]
+        w = np.concatenate(self.windows, axis=1).astype(np.int64)
+        self.windows = []
+        hot = np.array([x in self.hot for x in self.words])
+        salts = np.array([zlib.crc32(x) % SALTS for x in self.words]) if hot.any() else np.zeros(len(hot), np.int64)
+        # Words take 20 bits and salts 16.
+        group = w[0] << 16 | np.where(hot[w[0]], salts[w[1]], 0)
+        pair, end = group << 20 | w[1], w[2] << 20 | w[3]
+        order = np.lexsort((end, pair))
+        group, pair, end = group[order], pair[order], end[order]
+        new = np.ones(len(pair), bool)
+        new[1:] = pair[1:] != pair[:-1]
+        fresh = new.copy()
+        fresh[1:] |= end[1:] != end[:-1]
+        at, starts = np.flatnonzero(fresh), np.flatnonzero(new)
+        n, n2 = np.diff(at, append=len(pair)), np.diff(starts, append=len(pair))
         words = pa.array(self.words, pa.binary())
+        low = (1 << 20) - 1
         take = lambda k: words.take(pa.array(k))
-        blank, tab = pa.scalar(b" ", pa.binary()), pa.scalar(b"\t", pa.binary())
-        entry = pc.binary_join_element_wise(take(to // size), take(to % size), blank)
-        counts = pc.cast(pc.cast(pa.array(n), pa.string()), pa.binary())
-        entry = pc.if_else(pa.array(n > 1), pc.binary_join_element_wise(entry, counts, blank), entry)
-        starts = np.concatenate([np.searchsorted(of, np.arange(len(pairs))), [len(of)]])
-        rest = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), entry), tab)
-        first = pc.binary_join_element_wise(take(pairs // size), take(pairs % size), blank)
-        pair = pc.binary_join_element_wise(first, pa.array(self.langs, pa.binary()).take(pa.array(pairs // size)), tab)
-        self.__init__()
-        for k in range(0, len(pair), 50_000):
-            yield pa.RecordBatch.from_arrays([pair[k : k + 50_000], rest[k : k + 50_000]], ["pair", "rest"])
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    chunk = _Chunk()
+        text = lambda k: pc.cast(pc.cast(pa.array(k), pa.string()), pa.binary())
+        join = lambda by, *x: pc.binary_join_element_wise(*x, pa.scalar(by, pa.binary()))
+        lists = lambda starts, x, by: pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.append(starts, len(x)), pa.int64()), x), pa.scalar(by, pa.binary()))
+        entry = join(b" ", take(end[at] >> 20), take(end[at] & low))
+        entry = pc.if_else(pa.array(n > 1), join(b" ", entry, text(n)), entry)
+        line = join(b",", join(b" ", take(pair[starts] & low), text(n2)), lists(np.searchsorted(at, starts), entry, b","))
+        group = group[starts]
+        heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        rest, total = lists(heads, line, b"\n"), pa.array(np.add.reduceat(n2, heads), pa.int64())
+        first, salt = group[heads] >> 16, pa.array(group[heads] & 65535, pa.int32())
+        word = join(b"\t", take(first), pa.array(self.langs, pa.binary()).take(pa.array(first)))
+        self.__init__(self.hot)
+        for k in range(0, len(word), 50_000):
+            yield pa.RecordBatch.from_arrays([x[k : k + 50_000] for x in (word, salt, total, rest)], ["word", "salt", "n", "rest"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], hot: frozenset[bytes]) -> Iterator[pa.RecordBatch]:
+    chunk = _Chunk(hot)
     for batch in batches:
         for lang, text in zip(batch.column("lang"), batch.column("text")):
             yield from chunk.add(lang.as_py(), text.as_py().translate(_FOLD))
     yield from chunk.counted()
 
 
+def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """``word, w2, w3, w4, n`` from rows of ``counted`` that are sorted by word and salt."""
+    out: list[tuple] = []
+
+    def whole(word: bytes, rows: list[tuple[int, bytes]]) -> None:
+        """All windows of a word and salt: rare last words are given up."""
+        rare, pairs = 0, {}
+        if sum(n for n, _ in rows) < least:
+            out.append((word, b"", b"", b"", sum(n for n, _ in rows)))
+            return
+        for _, rest in rows:
+            for line in rest.split(b"\n"):
+                head, _, tail = line.partition(b",")
+                w2, _, n = head.partition(b" ")
+                if (x := pairs.get(w2)) is None:
+                    pairs[w2] = [int(n), [tail]]
+                else:
+                    x[0] += int(n)
+                    x[1].append(tail)
+        for w2, (n, tails) in pairs.items():
+            if n < least or not w2:
+                rare += n
+                continue
+            f4, f3, left = Counter(), Counter(), Counter()
+            for tail in tails:
+                for w3, w4, c in _entries(tail):
+                    f4[w3, w4] += c
+            for (w3, _), c in f4.items():
+                f3[w3] += c
+            for (w3, w4), c in f4.items():
+                left[(w3, w4 if c >= least else b"") if f3[w3] >= least else (b"", b"")] += c
+            out.extend((word, w2, *x, c) for x, c in left.items())
+        if rare:
+            out.append((word, b"", b"", b"", rare))
+
+    def as_they_are(word: bytes, rows: list[tuple[int, bytes]]) -> None:
+        for _, rest in rows:
+            for line in rest.split(b"\n"):
+                head, _, tail = line.partition(b",")
+                out.extend((word, head.partition(b" ")[0], *x) for x in _entries(tail))
+
+    def ready(most: int) -> Iterator[pa.RecordBatch]:
+        if len(out) > most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.binary()] * WORDS + [pa.int64()])], ["word", "w2", "w3", "w4", "n"])
+            out.clear()
+
+    key, rows, held, finish = None, [], 0, whole
+    for batch in batches:
+        for word, salt, n, rest in zip(*(batch.column(c).to_pylist() for c in ("word", "salt", "n", "rest"))):
+            if (word, salt) != key:
+                if rows:
+                    finish(key[0], rows)
+                key, rows, held, finish = (word, salt), [], 0, whole
+                yield from ready(20_000)
+            rows.append((n, rest))
+            held += len(rest)
+            if held > HELD:
+                finish = as_they_are  # for what is held and for the rest of this word and salt
+                finish(word, rows)
+                rows, held = [], 0
+                yield from ready(0)
+    if rows:
+        finish(key[0], rows)
+    yield from ready(0)
+
+
+def _entries(tail: bytes) -> Iterator[tuple[bytes, bytes, int]]:
+    for e in tail.split(b","):
+        w3, w4, *n = e.split(b" ")
+        yield w3, w4, int(n[0]) if n else 1
+
+
 def _exact(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("decimal(19,0)")
 
@@ -131,19 +226,15 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
     """``lang, w1 .. w4, n``: the longest windows, without last words that no candidate can have."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).cast("binary").alias("lang"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    sent = texts.mapInArrow(_counted, "pair binary, rest binary").select(F.col("pair").cast("string").alias("pair"), F.col("rest").cast("string").alias("rest"))
-    each = sent.repartition("pair").select("pair", F.explode(F.split("rest", "\t")).alias("e"))
-    each = each.select("pair", F.split_part("e", F.lit(" "), F.lit(1)).alias("w3"), F.split_part("e", F.lit(" "), F.lit(2)).alias("w4"),
-                       F.coalesce(F.nullif(F.split_part("e", F.lit(" "), F.lit(3)), F.lit("")).cast("long"), F.lit(1)).alias("n"))
-    # All by the pair, so none of this moves rows again.
-    whole = each.groupBy("pair", "w3", "w4").agg(F.sum("n").alias("n"))
-    marked = whole.withColumn("f3", F.sum("n").over(Window.partitionBy("pair", "w3"))).withColumn("f2", F.sum("n").over(Window.partitionBy("pair")))
-    word = F.substring_index("pair", "\t", 1)
-    lang = F.expr("substring(pair, char_length(substring_index(pair, '\t', 1)) + 2)")
-    keep = lambda f, c: F.when(F.col(f) >= least, c).otherwise("")
-    cut = marked.select(lang.alias("lang"), F.split_part(word, F.lit(" "), F.lit(1)).alias("w1"), keep("f2", F.split_part(word, F.lit(" "), F.lit(2))).alias("w2"),
-                        keep("f3", F.col("w3")).alias("w3"), keep("n", F.col("w4")).alias("w4"), "n")
-    return cut
+    some = Counter(w for r in texts.select(F.substring(F.col("text").cast("string"), 1, LOOK_CHARS).alias("t")).limit(LOOK).collect()
+                   for w in _TOKEN.findall(r["t"].encode().translate(_FOLD)))
+    hot = frozenset(w for w, n in some.items() if n > OFTEN * some.total() and w not in _SEPARATORS)
+    sent = texts.mapInArrow(lambda batches: _counted(batches, hot), "word binary, salt int, n long, rest binary")
+    near = sent.repartition("word", "salt").sortWithinPartitions("word", "salt")
+    cut = near.mapInArrow(lambda batches: _merged(batches, least), "word binary, w2 binary, w3 binary, w4 binary, n long")
+    cut = cut.groupBy("word", "w2", "w3", "w4").agg(F.sum("n").alias("n")).withColumn("word", F.col("word").cast("string"))
+    w1, lang = F.substring_index("word", "\t", 1), F.expr("substring(word, instr(word, '\t') + 1)")
+    return cut.select(lang.alias("lang"), w1.alias("w1"), *[F.col(c).cast("string").alias(c) for c in ("w2", "w3", "w4")], "n")
 
 
 def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
