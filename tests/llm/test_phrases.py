@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tallyroom.llm import phrases
@@ -59,13 +60,17 @@ def test_chunks_and_segments_change_nothing(make, rows, monkeypatch):
         monkeypatch.setattr(phrases, "CHUNK", chunk)
         monkeypatch.setattr(phrases, "SEGMENT", segment)
         tables = []
-        for _, text, lang, _ in rows + long:
-            c = phrases._Chunk()
-            for b in [*c.add(("und" if lang is None else lang).encode(), (text or "").encode().translate(phrases._FOLD)), *c.counted()]:
-                for pair, rest in zip(b.column("pair").to_pylist(), b.column("rest").to_pylist()):
-                    for e in rest.split(b"\t"):
-                        w3, w4, *n = e.split(b" ")
-                        tables.append((pair.split(b"\t", 1)[1].decode(), *pair.split(b"\t", 1)[0].split(b" "), w3, w4, int(n[0]) if n else 1))
+        for _, text, of, _ in rows + long:
+            c = phrases._Chunk(frozenset([b"a", b"word"]))
+            for b in [*c.add(("und" if of is None else of).encode(), (text or "").encode().translate(phrases._FOLD)), *c.counted()]:
+                for word, rest in zip(b.column("word").to_pylist(), b.column("rest").to_pylist()):
+                    w1, lang = word.split(b"\t", 1)
+                    for line in rest.split(b"\n"):
+                        head, *entries = line.split(b",")
+                        w2, total = head.split(b" ")
+                        entries = [e.split(b" ") for e in entries]
+                        tables += [(lang.decode(), w1, w2, w3, w4, int(n[0]) if n else 1) for w3, w4, *n in entries]
+                        assert int(total) == sum(int(n[0]) if n else 1 for _, _, *n in entries)
         counted = Counter()
         for lang, *w, n in tables:
             words = [x for x in w if x]
@@ -85,6 +90,25 @@ def test_no_rows(none, make):
     assert phrases.collocations(make([(1, None, "en", "s"), (2, "a b a b", None, "s")])).count() == 0
 
 
-def test_windows_move_once_by_their_first_words(make, rows):
+@pytest.mark.parametrize("held", [0, 300])
+def test_words_too_large_to_hold_are_counted_alike(make, rows, monkeypatch, held):
+    monkeypatch.setattr(phrases, "HELD", held)
+    c, out = phrases._Chunk(frozenset([b"b"])), Counter()
+    for _, text, of, _ in rows:
+        sent = [*c.add(("und" if of is None else of).encode(), lower(text).encode()), *c.counted()]
+        assert len(sent) < 2
+        out.update({(w, s, n, r): 1 for b in sent for w, s, n, r in zip(*(b.column(k).to_pylist() for k in b.schema.names))})
+    ordered = sorted(out.elements())
+    batch = pa.RecordBatch.from_pylist([dict(zip(("word", "salt", "n", "rest"), r)) for r in ordered])
+    f = Counter()
+    for b in phrases._merged(iter([batch, batch.slice(0, 0)]), 5):
+        for word, *rest, n in zip(*(b.column(k).to_pylist() for k in b.schema.names)):
+            w = [word.split(b"\t")[0], *[x for x in rest if x]]
+            f.update({(word.split(b"\t", 1)[1].decode(), b" ".join(w[:k]).decode()): n for k in range(1, len(w) + 1)})
+    want = brute(rows, 5, 10**6)
+    assert want and all(f[g, p] == a for g, _, p, a, *_ in want)
+
+
+def test_windows_move_once_by_their_first_word(make, rows):
     plan = phrases.windows(make(rows), 5)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") - plan.count("ReusedExchange") == 1
+    assert plan.count("Exchange hashpartitioning(word") == 2  # the lines, and what is left of them
