@@ -228,7 +228,8 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
                         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     some = Counter(w for r in texts.select(F.substring(F.col("text").cast("string"), 1, LOOK_CHARS).alias("t")).limit(LOOK).collect()
                    for w in _TOKEN.findall(r["t"].encode().translate(_FOLD)))
-    hot = frozenset(w for w, n in some.items() if n > OFTEN * some.total() and w not in _SEPARATORS)
+    much = OFTEN * some.total()
+    hot = frozenset(w for w, n in some.items() if n > much and w not in _SEPARATORS)
     sent = texts.mapInArrow(lambda batches: _counted(batches, hot), "word binary, salt int, n long, rest binary")
     near = sent.repartition("word", "salt").sortWithinPartitions("word", "salt")
     cut = near.mapInArrow(lambda batches: _merged(batches, least), "word binary, w2 binary, w3 binary, w4 binary, n long")
