@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.operators import events as op
+from tallyroom.operators import events as op, late
 from tallyroom.plans import binding as b
 from tallyroom.sources import logs
 from tallyroom.streaming import brokers, logs as streams
@@ -49,7 +49,7 @@ def out_of_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def late_data(spark: SparkSession, d: str) -> DataFrame:
-    judged, _ = op.late_data(_parsed(spark, d), ORDER, b.log_range(b.log_lines(spark, d)))
+    judged, _ = late.late_data(_parsed(spark, d), ORDER)
     return judged.select("namespace", "event_id", "timestamp", "kept", "late", "check")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.operators import events as op
+from tallyroom.operators import events as op, late
 from tallyroom.sources import logs
 from tallyroom.workspace import new_folder
 
@@ -60,7 +60,7 @@ def late_rule(spark: SparkSession, segments: str, target: str, max_files: int |
         if batch_id > 0:
             start = spark.read.schema(STATE_SCHEMA).parquet(f"{states}/{batch_id - 1}")
         parsed = op.parse_log(logs.with_line_order(batch))
-        judged, end = op.late_data(parsed, logs.LINE_ORDER, logs.split_key(), start)
+        judged, end = late.late_data(parsed, logs.LINE_ORDER, start)
         logs.write_batch(judged.select(*op.EVENT, "kept", "late", "check"), target, batch_id)
         end.write.mode("overwrite").parquet(f"{states}/{batch_id}")
 

@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from tallyroom.operators import events as op
+from tallyroom.operators import events as op, late
 from tallyroom.sources import logs
 from tallyroom.streaming import logs as streams
 
@@ -29,28 +31,61 @@ def test_parse(spark):
 
 def test_late_rule(spark):
     rows = spark.createDataFrame([("n", i, f"2024-01-01 {t}:00") for i, t in enumerate(["10:00", "10:05", "10:03", "10:01"])], ARRIVALS)
-    judged, end = op.late_data(rows, ["seq"], F.lit(0))
+    judged, end = late.late_data(rows, ["seq"])
     got = [(r.kept, r.late, r.check) for r in judged.orderBy("seq").collect()]
     assert got == [(True, False, False), (True, False, False), (True, True, True), (False, False, False)]
     assert [r.bound for r in end.collect()] == ["2024-01-01 10:03:00"]
 
 
-def test_late_rule_is_exact_over_many_blocks_and_batches(spark):
-    rng = random.Random(11)
-    rows = [("hot", i, f"{rng.randint(0, 60) + i // 3:06d}") for i in range(400)] + [("b", i, f"{rng.randint(0, 999):06d}") for i in range(60)]
-    want, ends = {}, {}
-    for ns in ("hot", "b"):
-        mine = [r for r in rows if r[0] == ns]
-        marks, bound, previous = walk([r[2] for r in mine])
-        ends[ns] = (bound, previous)
-        want.update({(ns, r[1]): m for r, m in zip(mine, marks)})
+def random_walks(rng):
+    """Arrivals that are nearly in order, in disorder, falling, rising, all alike, and with one stamp far ahead."""
+    near = [f"{i // 2 + rng.randint(0, 12):06d}" for i in range(300)]
+    return {
+        "near": near, "wild": [f"{rng.randint(0, 300):06d}" for _ in range(200)], "down": [f"{999 - i:06d}" for i in range(60)],
+        "up": [f"{i:06d}" for i in range(130)], "same": ["000005"] * 50, "glitch": ["999999", *near[:150]], "one": ["000003"],
+    }
+
+
+@pytest.mark.parametrize("block, at_once", [(1, 50), (7, 50), (16, 10_000), (1024, 10_000)])
+def test_late_rule_is_exact_over_blocks_and_batches(spark, monkeypatch, block, at_once):
+    monkeypatch.setattr(late, "BLOCK", block)
+    monkeypatch.setattr(late, "AT_ONCE", at_once)
+    rng = random.Random(block)
+    walks = random_walks(rng)
+    start = {"near": ("000020", None), "up": ("000100", "000120"), "gone": ("000001", "000002"), "wild": (None, "000150")}
+    want, ends, rows = {}, {"gone": start["gone"]}, []
+    for ns, stamps in walks.items():
+        marks, *ends[ns] = walk(stamps, *start.get(ns, (None, None)))
+        want |= {(ns, i): m for i, m in enumerate(marks)}
+        rows += [(ns, i, t) for i, t in enumerate(stamps)]
     df = spark.createDataFrame(rows, ARRIVALS)
-    block = F.floor(F.col("seq") / 40).cast("bigint")
-    first, state = op.late_data(df.where("seq < 200"), ["seq"], block)
-    second, end = op.late_data(df.where("seq >= 200"), ["seq"], block, state)
+    state = spark.createDataFrame([(k, *v) for k, v in start.items()], late.STATE_SCHEMA)
+    first, state = late.late_data(df.where("seq < 100"), ["seq"], state)
+    second, end = late.late_data(df.where("seq >= 100"), ["seq"], state)
     got = {(r.namespace, r.seq): (r.kept, r.late) for r in first.unionByName(second).collect()}
     assert got == want
-    assert {r.namespace: (r.bound, r.previous) for r in end.collect()} == ends
+    assert {r.namespace: (r.bound, r.previous) for r in end.collect()} == {k: tuple(v) for k, v in ends.items()}
+
+
+def test_marking_goes_on_over_batches():
+    rng = random.Random(2)
+    stamps = [f"{i + rng.randint(0, 9):04d}" for i in range(90)]
+    marks, _, _ = walk(stamps, "0004", "0006")
+    table = pa.record_batch({"namespace": ["n"] * 90, "_block": [3] * 90, "timestamp": stamps, "_bound": ["0004"] * 90, "_previous": ["0006"] * 90})
+    parts = [table.slice(k, 13) for k in range(0, 90, 13)]
+    got = [(k, x) for b in late._judged(iter(parts), ["timestamp"]) for k, x in zip(b.column("kept").to_pylist(), b.column("late").to_pylist())]
+    assert got == marks
+
+
+def test_late_rule_takes_the_same_jobs_for_any_log(spark):
+    """Two tables are written, whatever the arrivals; nothing waits for what a block says."""
+    tracker, seen = spark.sparkContext.statusTracker(), []
+    for k, stamps in enumerate((["1"] * 10, [f"{9999 - i:05d}" for i in range(3000)], [f"{i % 97:05d}" for i in range(5000)])):
+        spark.sparkContext.setJobGroup(f"late-{k}", "late")
+        late.late_data(spark.createDataFrame([("n", i, t) for i, t in enumerate(stamps)], ARRIVALS), ["seq"])
+        seen.append(len(tracker.getJobIdsForGroup(f"late-{k}")))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert len(set(seen)) == 1 and seen[0] <= 12, seen
 
 
 def test_replay_of_the_boundary_second(spark):
