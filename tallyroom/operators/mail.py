@@ -177,6 +177,12 @@ def provider_ban(providers: DataFrame, failures: DataFrame, as_of: Column, secon
     return providers.join(out.select(F.col("provider").alias("id")), "id", "left_anti")
 
 
+def holds(held: Column, held_from: Column, new: Column, new_from: Column) -> Column:
+    """Whether a configuration keeps all held values and its sender; extra new fields are allowed."""
+    kept = F.forall(F.map_entries(held), lambda e: F.try_element_at(new, e["key"]).eqNullSafe(e["value"]))
+    return F.coalesce(kept, F.lit(False)) & held_from.eqNullSafe(new_from)
+
+
 def config_drift(held: DataFrame, new: DataFrame) -> DataFrame:
     """``changed``, ``same``, ``new`` or ``gone`` for ``(id, config map, from)`` tables.
 
@@ -184,8 +190,7 @@ def config_drift(held: DataFrame, new: DataFrame) -> DataFrame:
     """
     h = held.select("id", F.col("config").alias("_hc"), F.col("from").alias("_hf"), F.lit(True).alias("_h"))
     n = new.select("id", F.col("config").alias("_nc"), F.col("from").alias("_nf"), F.lit(True).alias("_n"))
-    kept = F.forall(F.map_entries("_hc"), lambda e: F.try_element_at(F.col("_nc"), e["key"]).eqNullSafe(e["value"]))
-    same = F.coalesce(kept, F.lit(False)) & F.col("_hf").eqNullSafe(F.col("_nf"))
+    same = holds(F.col("_hc"), F.col("_hf"), F.col("_nc"), F.col("_nf"))
     return h.join(n, "id", "full").select(
         "id",
         F.when(F.col("_h").isNull(), F.lit("new"))

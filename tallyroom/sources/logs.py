@@ -1,4 +1,4 @@
-"""Log segments as files, and event tables written batch by batch."""
+"""Log segments as files."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ import os.path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.operators.events import EVENT, EVENT_SCHEMA
-
 ROOT = "/"
 LINE_ORDER = ["file", "block", "line_no"]
 
@@ -29,36 +27,15 @@ def land_segments(lines: DataFrame, folder: str) -> None:
 
 
 def with_line_order(lines: DataFrame) -> DataFrame:
-    """Add each line's place in its file split to lines that carry ``file`` and ``block``."""
-    return lines.withColumn("line_no", F.monotonically_increasing_id())
-
-
-def split_key():
-    """Names a file split in arrival order; a block for the late rule, bounded by the split size."""
-    return F.concat_ws("#", "file", F.lpad(F.col("block").cast("string"), 20, "0"))
+    """Add each line's place in its file split to lines that carry ``file`` and ``block`` and no place."""
+    return lines if "line_no" in lines.columns else lines.withColumn("line_no", F.monotonically_increasing_id())
 
 
 def log_source(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """Stream of landed log segments. Lines added to an open file are not seen: rotate it."""
+    """Stream of landed log segments, each read once it is there. For files that still grow there is ``growing.growing_logs``."""
     reader = spark.readStream.format("text").schema("value string, namespace string, segment string")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(absolute_path(folder)).select(
         "namespace", "value", F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"))
-
-
-def write_batch(batch: DataFrame, folder: str, batch_id: int, run: str = "0") -> None:
-    """Write a micro-batch under its own number; writing it again replaces it."""
-    batch.write.mode("overwrite").parquet(f"{folder}/run={run}/batch={batch_id}")
-
-
-def read_batches(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA) -> DataFrame:
-    return spark.read.schema(f"{schema}, run string, batch int").parquet(folder).drop("run", "batch")
-
-
-def event_sink(folder: str, run: str = "0"):
-    """``foreachBatch`` writer: all or nothing per batch, retried by restarting the query."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch.select(*EVENT), folder, batch_id, run)
-    return write

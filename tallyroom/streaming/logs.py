@@ -1,4 +1,4 @@
-"""Log ingestion as streaming queries that run until all landed segments are read."""
+"""Log ingestion as streaming queries that run until all landed segments are read, and go on where they stopped."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyroom.operators import events as op, late
-from tallyroom.sources import logs
-from tallyroom.workspace import new_folder
+from tallyroom.sources import logs, store
+from tallyroom.workspace import stage
 
-STATE_SCHEMA = "namespace string, bound string, previous string"
+#: The batch number of what a run starts from.
+BEGIN = -1
 
 
 def drain(writer, checkpoint: str) -> None:
@@ -17,51 +18,64 @@ def drain(writer, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def ingest(spark: SparkSession, segments: str, target: str, stored: DataFrame | None = None,
-           max_files: int | None = None, run: str = "0") -> None:
-    """Parse landed segments and append their events to ``target``.
+def restart_point(spark: SparkSession, target: str, run: str, origin: str) -> None:
+    """Note once for a run from which second of each namespace it reads: the last one stored by then."""
+    if not store.is_committed(spark, target, BEGIN, run, origin):
+        events = store.read_batches(spark, target, op.EVENT_SCHEMA)
+        last = op.max_ts_by_namespace(events).select("namespace", F.col("last").alias("bound"), F.lit(None).cast("string").alias("previous"))
+        store.write_batch({"rows": events.limit(0), "state": last}, target, BEGIN, run, origin)
 
-    ``stored`` seeds a new checkpoint: reading restarts at its last second per namespace,
-    and rows of that second are only written if they are not stored yet.
-    """
-    parsed = op.parse_log(logs.log_source(spark, segments, max_files))
-    sink = logs.event_sink(target, run)
-    if stored is None:
-        drain(parsed.writeStream.foreachBatch(sink), new_folder(spark, "checkpoint"))
-        return
-    last = op.max_ts_by_namespace(stored)
-    boundary = stored.join(last.withColumnRenamed("last", "timestamp"), ["namespace", "timestamp"], "left_semi")
-
-    def restart(batch: DataFrame, batch_id: int) -> None:
-        sink(op.event_not_seen(op.since_watermark(batch, last), boundary, last), batch_id)
 
-    drain(parsed.writeStream.foreachBatch(restart), new_folder(spark, "checkpoint"))
+def to_insert(spark: SparkSession, kept: DataFrame, order: list[str], target: str) -> DataFrame:
+    """Of kept rows ``(EVENT, check, order)`` those to store: a row at the bound only if no equal one is stored or kept before it.
 
+    Stored rows are read for the seconds in question only, which the files' statistics find.
+    """
+    checks = kept.where("check")
+    low, high = checks.agg(F.min("timestamp"), F.max("timestamp")).first()
+    plain = kept.where("not check").select(*op.EVENT)
+    if low is None:
+        return plain
+    near = kept.join(checks.select("namespace", "timestamp").distinct(), ["namespace", "timestamp"], "left_semi")
+    first = near.groupBy(*op.EVENT).agg(F.min(F.struct(*order, "check")).alias("first")).where("first.check")
+    stored = store.read_batches(spark, target, op.EVENT_SCHEMA).where(F.col("timestamp").between(low, high))
+    return plain.unionByName(first.join(stored.distinct(), op.EVENT, "left_anti").select(*op.EVENT))
+
+
+def ingest(spark: SparkSession, lines: DataFrame, target: str, checkpoint: str, run: str | None = None) -> None:
+    """The log pipeline: a stream of lines ``(namespace, value, file, block)`` parsed, held to the late rule, checked at the bound, stored.
+
+    A run starts from the last stored second of each namespace and then carries the late rule's state from batch to
+    batch; state and events of a batch are committed together. With the same checkpoint the query goes on where it stopped,
+    with another one it is another run: it reads the log from its beginning and the bound keeps out what is stored.
+    """
+    run = run or store.run_of(checkpoint)
+    restart_point(spark, target, run, checkpoint)
 
-def dedup(spark: SparkSession, segments: str, target: str, delay: str = "1 hour") -> None:
-    """Keep the first copy of each line among copies that arrive within ``delay``."""
-    parsed = op.parse_log(logs.log_source(spark, segments))
-    timed = parsed.withColumn("_ts", F.to_timestamp("timestamp")).withWatermark("_ts", delay)
-    once = timed.dropDuplicatesWithinWatermark(op.EVENT).select(*op.EVENT)
-    drain(once.writeStream.foreachBatch(logs.event_sink(target)), new_folder(spark, "checkpoint"))
+    def step(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        if store.is_committed(session, target, batch_id, run, checkpoint):
+            return
+        state = store.read_batches(session, target, late.STATE_SCHEMA, "state", run, last=True)
+        judged, end = late.late_data(op.parse_log(logs.with_line_order(batch)), logs.LINE_ORDER, state)
+        kept = stage(judged.where("kept").select(*op.EVENT, "check", *logs.LINE_ORDER))
+        rows = to_insert(session, kept, logs.LINE_ORDER, target)
+        store.write_batch({"rows": rows, "state": end}, target, batch_id, run, checkpoint)
 
+    drain(lines.writeStream.foreachBatch(step), checkpoint)
 
-def late_rule(spark: SparkSession, segments: str, target: str, max_files: int | None = None) -> None:
-    """The late rule over a stream: each micro-batch continues from the state before it.
 
-    State is one row per namespace, written as a table per batch number, so a batch that is
-    run again after a failure starts from the same state. Within a batch the rule runs on
-    all file splits at once instead of row by row in one state key.
-    """
-    states = new_folder(spark, "late-state")
+def late_rule(spark: SparkSession, lines: DataFrame, target: str, checkpoint: str, run: str | None = None) -> None:
+    """The late rule alone over a stream: every row with its marks, and the state that the next batch goes on from."""
+    run = run or store.run_of(checkpoint)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        start = None
-        if batch_id > 0:
-            start = spark.read.schema(STATE_SCHEMA).parquet(f"{states}/{batch_id - 1}")
-        parsed = op.parse_log(logs.with_line_order(batch))
-        judged, end = late.late_data(parsed, logs.LINE_ORDER, start)
-        logs.write_batch(judged.select(*op.EVENT, "kept", "late", "check"), target, batch_id)
-        end.write.mode("overwrite").parquet(f"{states}/{batch_id}")
-
-    drain(logs.log_source(spark, segments, max_files).writeStream.foreachBatch(step), new_folder(spark, "checkpoint"))
+        session = batch.sparkSession
+        if store.is_committed(session, target, batch_id, run, checkpoint):
+            return
+        state = store.read_batches(session, target, late.STATE_SCHEMA, "state", run, last=True)
+        judged, end = late.late_data(op.parse_log(logs.with_line_order(batch)), logs.LINE_ORDER, state)
+        marks = judged.select(*op.EVENT, "kept", "late", "check")
+        store.write_batch({"rows": marks, "state": end}, target, batch_id, run, checkpoint)
+
+    drain(lines.writeStream.foreachBatch(step), checkpoint)

@@ -5,8 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyroom.operators import events as op, late
-from tallyroom.sources import logs
-from tallyroom.streaming import logs as streams
 
 ARRIVALS = "namespace string, seq bigint, timestamp string"
 
@@ -99,32 +97,6 @@ def test_replay_of_the_boundary_second(spark):
     assert got == sorted([other, later, later])
 
 
-def test_replaying_a_log_changes_nothing(spark, tmp_path):
-    lines = [("n", "0001", i, f"2024-01-01 10:00:{i:02d} 1AbCdE-0000Xx-{i:02d} m") for i in range(20)] + [("n", "0001", 20, "junk")]
-    df = spark.createDataFrame(lines, "namespace string, segment string, seq int, value string")
-    logs.land_segments(df, str(tmp_path / "in"))
-    target = str(tmp_path / "out")
-    streams.ingest(spark, str(tmp_path / "in"), target, run="a")
-    once = sorted(tuple(r) for r in logs.read_batches(spark, target).collect())
-    assert len(once) == 20
-    stored = logs.read_batches(spark, f"{target}/run=a")
-    streams.ingest(spark, str(tmp_path / "in"), target, stored, run="b")
-    assert sorted(tuple(r) for r in logs.read_batches(spark, target).collect()) == once
-
-
-def test_streamed_late_rule_equals_batch(spark, tmp_path):
-    rng = random.Random(3)
-    stamps = [f"2024-01-01 10:{i // 4:02d}:{rng.randint(0, 59):02d}" for i in range(160)]
-    lines = [("n", f"{i // 40:04d}", i, f"{t} 1AbCdE-0000Xx-Gf {i}") for i, t in enumerate(stamps)]
-    df = spark.createDataFrame(lines, "namespace string, segment string, seq int, value string")
-    for part in range(4):
-        logs.land_segments(df.where(F.col("segment") == f"{part:04d}"), str(tmp_path / "in"))
-    streams.late_rule(spark, str(tmp_path / "in"), str(tmp_path / "out"), max_files=1)
-    got = logs.read_batches(spark, str(tmp_path / "out"), op.EVENT_SCHEMA + ", kept boolean, late boolean, check boolean").collect()
-    marks, _, _ = walk(stamps)
-    assert {int(r.message): (r.kept, r.late) for r in got} == dict(enumerate(marks))
-
-
 def test_ban_periods_end_after_the_last_failure(spark):
     rows = spark.sql("""select 1 provider, timestamp_ntz'2024-01-01 10:00:00' + make_dt_interval(0, 0, 0, s) fail_ts
                         from values (0), (59), (59), (119), (118) t(s)""")
