@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyroom.functions import mail as fn
 from tallyroom.operators import registry
 from tallyroom.operators.ordered import running
-from tallyroom.sources.tables import update_by_id
+from tallyroom.sources import keyed
 
 BATCH_ROWS = 10
 BAN_SECONDS = 60
@@ -84,12 +84,15 @@ def delivery_state(results: DataFrame) -> DataFrame:
 
     ``results(attempt_id, response, error, exception, raised_by, state)``: ``raised_by`` is
     ``provider`` or ``worker`` where there is an exception, ``state`` is what the provider said.
+    ``body`` and ``provider``, where there are such columns, are kept as the worker notes them: the body
+    of what was sent, and the provider unless the worker itself failed.
     """
     unparsed = F.col("exception").isNull() & ~fn.response_parsed(F.col("response"))
     raised = F.col("exception").isNotNull()
     by_provider = raised & (F.col("raised_by") == "provider")
     message_id = F.when(~raised & ~unparsed, fn.smtp_message_id(F.col("response")))
     kept = ~by_provider & ~unparsed
+    noted = {"body": kept & ~raised, "provider": ~raised | by_provider}
     data = F.create_map(
         F.lit("error"), F.when(kept, F.col("error")),
         F.lit("response"), F.when(kept, F.col("response")),
@@ -103,6 +106,7 @@ def delivery_state(results: DataFrame) -> DataFrame:
         .otherwise(F.col("state")).alias("providerState"),
         unparsed.alias("response_unparsed"),
         F.map_filter(data, lambda k, v: v.isNotNull()).alias("data"),
+        *[F.when(when, F.col(c)).alias(c) for c, when in noted.items() if c in results.columns],
     )
 
 
@@ -113,9 +117,25 @@ def delivery_log(attempts: DataFrame, states: DataFrame) -> DataFrame:
     return attempts.join(done, "id", "left")
 
 
-def task_update(tasks: DataFrame, changes: DataFrame) -> DataFrame:
-    """Tasks with the states and times given in ``changes(id, state, timeLastProcessed)``."""
-    return update_by_id(tasks, changes, "id", ["state", "timeLastProcessed"])
+LOG = ("id bigint, taskId int, rowId string, timeSent timestamp_ntz, body string, address string, data map<string,string>, "
+       "provider int, providerMessageId string, providerState string, error string")
+TASK = "id int, state string, timeLastProcessed timestamp_ntz, data string, provider int"
+
+
+def log_attempts(attempts: DataFrame, folder: str) -> None:
+    """Note in the delivery log that rows ``(id, taskId, rowId, address, timeSent)`` are being sent."""
+    keyed.insert(attempts, folder, "id", LOG)
+
+
+def log_results(states: DataFrame, folder: str) -> None:
+    """Write the results of attempts into the rows that were noted for them."""
+    named = states.withColumnRenamed("attempt_id", "id")
+    keyed.update(named, folder, "id", LOG, ["body", "data", "provider", "providerMessageId", "providerState"])
+
+
+def task_update(changes: DataFrame, folder: str) -> None:
+    """Write the states and times given in ``changes(id, state, timeLastProcessed)`` into the tasks."""
+    keyed.update(changes, folder, "id", TASK, ["state", "timeLastProcessed"])
 
 
 def task_progress(tasks: DataFrame, pending: DataFrame, providers: DataFrame) -> DataFrame:

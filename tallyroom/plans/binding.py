@@ -164,7 +164,8 @@ def results(spark: SparkSession, d: str) -> DataFrame:
         F.when(kind == "2", F.when(key % 3 == 0, F.lit("soft bounce"))).alias("error"),
         F.when(kind == "4", F.lit("Fail to send")).alias("exception"),
         F.when(kind == "4", F.when(key % 2 == 0, F.lit("provider")).otherwise(F.lit("worker"))).alias("raised_by"),
-        F.when((kind == "2") & (key % 2 == 0), F.lit("sent")).alias("state"))
+        F.when((kind == "2") & (key % 2 == 0), F.lit("sent")).alias("state"),
+        F.concat(F.lit("mail "), key).alias("body"), (key % 5).cast("int").alias("provider"))
 
 
 def failures(spark: SparkSession, d: str) -> DataFrame:

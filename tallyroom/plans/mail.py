@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tallyroom.functions import mail as fn
 from tallyroom.operators import mail as op
 from tallyroom.plans import binding as b
+from tallyroom.sources import keyed, store
 from tallyroom.sources.tables import read_table
+from tallyroom.streaming import inbox
 from tallyroom.workspace import new_folder
 
 SENDER = "bot@example.org"
@@ -79,22 +81,28 @@ def stop_batch_on_failure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def delivery_state(spark: SparkSession, d: str) -> DataFrame:
-    return op.delivery_state(b.results(spark, d)).withColumn("data", F.to_json("data"))
+    return op.delivery_state(b.results(spark, d).drop("body", "provider")).withColumn("data", F.to_json("data"))
 
 
 def delivery_log(spark: SparkSession, d: str) -> DataFrame:
-    attempts = b.mail_log(spark, d).select("id", "taskId", "rowId", "address")
-    done = op.delivery_state(b.results(spark, d)).where(F.col("attempt_id") % 9 != 0)
-    return op.delivery_log(attempts, done).select(
-        "id", "taskId", "rowId", "address", "providerMessageId", "providerState")
+    """Attempts noted first, results written into them in two turns; one in nine has none yet."""
+    folder = new_folder(spark, "log")
+    op.log_attempts(b.mail_log(spark, d).select("id", "taskId", "rowId", "address", F.col("timeSent").cast("timestamp_ntz")), folder)
+    done = op.delivery_state(b.results(spark, d))
+    for turn in (F.col("attempt_id") % 9 < 5, F.col("attempt_id") % 9 >= 5):
+        op.log_results(done.where(turn & (F.col("attempt_id") % 9 != 0)), folder)
+    return keyed.read(spark, folder, op.LOG).withColumn("data", F.to_json("data"))
 
 
 def task_update(spark: SparkSession, d: str) -> DataFrame:
     """Tasks after today's attempts: those with any sent row are running, at their last attempt."""
+    folder = new_folder(spark, "tasks")
+    keyed.insert(b.tasks(spark, d).select("id", "state", F.col("timeLastProcessed").cast("timestamp_ntz"), "data", "provider"), folder, "id", op.TASK)
     changes = b.mail_log(spark, d).where(F.col("providerState") == fn.QUEUED).groupBy("taskId").agg(
-        F.max("timeSent").alias("timeLastProcessed")).select(
+        F.max("timeSent").cast("timestamp_ntz").alias("timeLastProcessed")).select(
         F.col("taskId").alias("id"), F.lit("running").alias("state"), "timeLastProcessed")
-    return op.task_update(b.task_heads(spark, d), changes).select("id", "state", "timeLastProcessed", "provider")
+    op.task_update(changes, folder)
+    return keyed.read(spark, folder, op.TASK).select("id", "state", "timeLastProcessed", "provider")
 
 
 def task_progress(spark: SparkSession, d: str) -> DataFrame:
@@ -174,10 +182,15 @@ def mime_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inbox_ingest(spark: SparkSession, d: str) -> DataFrame:
-    path = new_folder(spark, "inbox")
-    op.inbox_ingest(b.inbox_raw(spark, d)).write.mode("append").parquet(path)
-    schema = "subject string, from string, to string, date timestamp_ntz, size int, fingerprint string, body binary"
-    return spark.read.schema(schema).parquet(path).select("subject", "from", "to", "size", "fingerprint")
+    """Message files of two deliveries, the second with every third message of the first again."""
+    folder, archive, target, checkpoint = (new_folder(spark, n) for n in ("messages", "archive", "inbox", "checkpoint"))
+    raw = b.inbox_raw(spark, d)
+    late = F.element_at(F.split("subject", " "), -1).cast("long") % 2 == 1
+    again = F.element_at(F.split("subject", " "), -1).cast("long") % 3 == 0
+    for part in (~late, late | again):
+        raw.where(part).write.mode("append").parquet(folder)
+        inbox.ingest(spark, folder, archive, target, checkpoint)
+    return store.read_batches(spark, target, inbox.INBOX).withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss")).withColumn("body", F.decode("body", "utf-8"))
 
 
 def fingerprint(spark: SparkSession, d: str) -> DataFrame:
@@ -265,8 +278,11 @@ ORACLES = {
       tried as (select *, substr(md5('try' || "rowId"), 1, 1) in ('0', '1') as failed from chunked)"""),
     "delivery_state": f"with {_DELIVERY} select * from states",
     "delivery_log": _with("""
-      select l.id, l."taskId", l."rowId", l.address, s."providerMessageId", s."providerState"
-      from mail_log l left join states s on s.attempt_id = l.id and l.id % 9 <> 0""", "," + _DELIVERY),
+      select l.id, l."taskId", l."rowId", l.address, cast(o_orderdate as timestamp) as "timeSent", s."providerMessageId", s."providerState", s.data,
+        case when kind in ('1', '2', '5') then 'mail ' || k end as body, cast(null as varchar) as error,
+        case when kind <> '4' or k % 2 = 0 then cast(k % 5 as int) end as provider
+      from mail_log l join orders on o_orderkey = l.id left join states s on s.attempt_id = l.id and l.id % 9 <> 0
+        left join shaped on shaped.attempt_id = s.attempt_id""", "," + _DELIVERY),
     "task_update": _with("""
       select t.id, case when c.at is null then t.state else 'running' end as state,
         coalesce(c.at, t."timeLastProcessed") as "timeLastProcessed", t.provider
@@ -339,7 +355,8 @@ ORACLES = {
       select msg_id, cast(row_number() over (partition by msg_id order by ord) - 1 as int) as part_no,
         container, kind, mime, cast(att as int) as attachment from parts""",
     "inbox_ingest": """select 'Document ' || doc_id as subject, source || '@example.org' as "from",
-        lang || '@example.org' as "to", cast(octet_length(encode(text)) as int) as size,
+        lang || '@example.org' as "to", cast(octet_length(encode(text)) as int) as size, text as body,
+        strftime(timestamp '2016-11-24 15:06:40' + to_seconds(doc_id), '%Y-%m-%d %H:%M:%S') as date,
         lower(to_base(1480000000 + doc_id, 36)) || ':' || sha1(text) as fingerprint from documents""",
     "fingerprint": """
       with e as (select o_orderkey, o_orderpriority, epoch_us(o_orderdate - interval 26 year) // 1000000 as s from orders)

@@ -1,9 +1,15 @@
+import glob
+from datetime import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
 from tallyroom.functions import mail as fn
 from tallyroom.operators import mail as op
 from tallyroom.operators import registry
+from tallyroom.sources import keyed, store
 from tallyroom.sources.tables import update_by_id
+from tallyroom.streaming import inbox
 
 IDS = "taskId int, rowId string"
 
@@ -110,3 +116,59 @@ def test_update_by_id(spark):
     rows = spark.createDataFrame([(1, "new", 5), (2, "new", 6)], "id int, state string, n int")
     got = update_by_id(rows, spark.createDataFrame([(2, "done", None)], "id int, state string, n int"), "id", ["state", "n"])
     assert sorted(map(tuple, got.collect())) == [(1, "new", 5), (2, "done", 6)]
+
+
+def test_keyed_tables_swap_whole_versions(spark, tmp_path, monkeypatch):
+    folder, schema = str(tmp_path / "t"), "id bigint, state string, n int"
+    rows = lambda *x: spark.createDataFrame(list(x), "id bigint, state string")
+    held = lambda: sorted(map(tuple, keyed.read(spark, folder, schema).collect()))
+    assert held() == []
+    keyed.update(rows((1, "x")), folder, "id", schema, ["state"])
+    keyed.insert(rows(*[(k, "new") for k in range(50)]), folder, "id", schema, buckets=8)
+    before = keyed._index(spark, folder)[1]
+    keyed.update(rows((3, "done"), (99, "lost")), folder, "id", schema, ["state"])
+    keyed.insert(rows((50, "new")), folder, "id", schema)
+    want = [(k, "done" if k == 3 else "new", None) for k in range(51)]
+    assert held() == want
+    after = keyed._index(spark, folder)[1]
+    assert 0 < sum(before[k] != after[k] for k in after) <= 3  # the buckets of 3, 99 and 50
+    real = store.commit
+
+    def dies(*args, **kwargs):
+        raise RuntimeError
+
+    monkeypatch.setattr(store, "commit", dies)
+    with pytest.raises(keyed.Conflict):
+        keyed.update(rows((3, "half")), folder, "id", schema, ["state"])
+    monkeypatch.setattr(store, "commit", real)
+    assert held() == want
+
+    def raced(*args, **kwargs):  # another writer commits this version first
+        monkeypatch.setattr(store, "commit", real)
+        keyed.update(rows((4, "first")), folder, "id", schema, ["state"])
+        real(*args, **kwargs)
+
+    monkeypatch.setattr(store, "commit", raced)
+    with pytest.raises(keyed.Conflict):
+        keyed.update(rows((4, "second")), folder, "id", schema, ["state"])
+    assert dict(r[:2] for r in held())[4] == "first"
+
+
+def test_messages_are_stored_once_and_their_files_archived(spark, tmp_path):
+    folder, archive, target, checkpoint = (str(tmp_path / x) for x in ("in", "archive", "out", "cp"))
+
+    def deliver(*texts):
+        rows = [(t, ["a@x", "b@x"], ["c@x"], datetime(2024, 1, 1, 0, 0, len(t)), t.encode()) for t in texts]
+        spark.createDataFrame(rows, inbox.MESSAGE).coalesce(1).write.mode("append").parquet(folder)
+
+    deliver("one", "two", "two")
+    inbox.ingest(spark, folder, archive, target, checkpoint)
+    deliver("three", "one")
+    inbox.ingest(spark, folder, archive, target, checkpoint)
+    inbox.ingest(spark, folder, archive, target, checkpoint)
+    rows = lambda: sorted((r.subject, r["from"], r["to"], bytes(r.body)) for r in store.read_batches(spark, target, inbox.INBOX).collect())
+    want = sorted((t, "a@x", "c@x", t.encode()) for t in ("one", "two", "three"))
+    assert rows() == want
+    assert glob.glob(f"{archive}/**/*.parquet", recursive=True)  # at least the first delivery has been consumed
+    inbox.ingest(spark, folder, archive, target, str(tmp_path / "lost"))  # the checkpoint is gone, what is left is read again
+    assert rows() == want
