@@ -29,34 +29,48 @@ _CYRILLIC_ONE = {
     "й": "i", "і": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r",
     "с": "s", "т": "t", "у": "u", "ф": "f", "ы": "y", "э": "e", "ь": "'", "ъ": '"',
 }
+_GREEK_ONE = dict(zip("αβγδεζηικλμνξοπρσςτυω", "abgdezeiklmnxoprsstuo"))
 _SEVERAL = {
     "є": "ie", "ё": "io", "ж": "zh", "ї": "yi", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh",
     "щ": "shch", "ю": "iu", "я": "ia", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th",
+    "θ": "th", "φ": "ph", "χ": "kh", "ψ": "ps",
+    "€": "EUR", "£": "PS", "…": "...", "—": "--", "«": "<<", "»": ">>", "©": "(c)", "®": "(r)", "™": "tm", "№": "No.",
+}
+# Signs whose ASCII form is one character.
+_SIGNS = {
+    "‐": "-", "‑": "-", "‒": "-", "–": "-", "―": "-", "‘": "'", "’": "'", "‚": ",", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"',
+    "′": "'", "″": '"', "•": "*", "·": "*", "×": "x", "÷": "/", "¿": "?", "¡": "!", "\u00a0": " ", "\u2002": " ", "\u2003": " ", "\u2009": " ",
+    "\u202f": " ", "\u3000": " ",
 }
 
 
-def _single_letters() -> dict[str, str]:
-    """Accented Latin letters by Unicode decomposition, plus Cyrillic in both cases."""
-    table = {"ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ø": "o", "Ø": "O", "ı": "i", "ð": "d", "Ð": "D"}
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        base = unicodedata.normalize("NFKD", chr(code))[0]
-        if base.isascii():
-            table[chr(code)] = base
-    for letter, ascii_letter in _CYRILLIC_ONE.items():
-        table[letter] = ascii_letter
-        table[letter.upper()] = ascii_letter.upper()
-    return table
+def fold_table() -> tuple[dict[str, str], dict[str, str]]:
+    """What becomes one ASCII character, and what several: by Unicode decomposition, and for what has none by the tables above."""
+    one = {"ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ø": "o", "Ø": "O", "ı": "i", "ð": "d", "Ð": "D"}
+    for code in [*range(0xC0, 0x250), *range(0x370, 0x400), *range(0x1E00, 0x2000), *range(0xFF01, 0xFF5F)]:
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(plain) == 1 and plain != chr(code):
+            one[chr(code)] = plain if plain.isascii() else _GREEK_ONE.get(plain) or _GREEK_ONE.get(plain.lower(), "").upper() or chr(code)
+    for letter, ascii_letter in (_CYRILLIC_ONE | _GREEK_ONE).items():
+        one[letter] = ascii_letter
+        if letter != "ς":
+            one[letter.upper()] = ascii_letter.upper()
+    one |= _SIGNS
+    several = {}
+    for letter, spelled in _SEVERAL.items():
+        several[letter] = spelled
+        if letter.upper() != letter and len(letter.upper()) == 1:
+            several[letter.upper()] = spelled.capitalize()
+    return {k: v for k, v in one.items() if k != v and k not in several}, several
 
 
 def ascii_fold(text: Column) -> Column:
-    """Text in ASCII: accents removed, Cyrillic transliterated, anything else dropped."""
-    singles = _single_letters()
-    folded = F.translate(text, "".join(singles), "".join(singles.values()))
-    for letter, spelled in _SEVERAL.items():
+    """Text in ASCII: accents removed, Cyrillic and Greek transliterated, signs spelled. What has no ASCII form stays as it is."""
+    one, several = fold_table()
+    folded = F.translate(text, "".join(one), "".join(one.values()))
+    for letter, spelled in several.items():
         folded = F.replace(folded, F.lit(letter), F.lit(spelled))
-        if letter.upper() != letter and len(letter.upper()) == 1:
-            folded = F.replace(folded, F.lit(letter.upper()), F.lit(spelled.capitalize()))
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]", "")).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
 
 def tag_id(uid: Column) -> Column:

@@ -14,6 +14,14 @@ EXPECTED_BOOL = "+, -, Yes, No or empty cell"
 INT_MIN, INT_MAX = -2147483648.0, 2147483647.0
 
 
+# Kinds of cells that have no value to read; a question that holds one is lost, see ``sheets.question_type``.
+UNREADABLE = ["formula", "error"]
+
+
+def is_unreadable(kind: Column) -> Column:
+    return F.coalesce(kind.isin(*UNREADABLE), F.lit(False))
+
+
 def _int_text(num: Column) -> Column:
     return F.least(F.greatest(num, F.lit(INT_MIN)), F.lit(INT_MAX)).cast("int").cast("string")
 
@@ -120,11 +128,11 @@ def code_mark(code: Column) -> Column:
 
 
 def code_unquote(text: Column) -> Column:
-    """Take code strings out of their quotes and markers and indent their lines."""
+    """Take code strings out of their quotes and markers and indent their lines; an empty one stays an empty string."""
     line_break = F.lit("\n" + " " * 9)
     pieces = F.split(text, f'"{CODE_OPEN}|{CODE_CLOSE}"')
     quoted = lambda p: F.concat(F.lit('["'), p, F.lit('"]'))
-    opened = F.transform(pieces, lambda p, i: F.when(
+    opened = F.transform(pieces, lambda p, i: F.when((i % 2 == 1) & (p == ""), F.lit('""')).when(
         i % 2 == 1, F.replace(F.get(F.from_json(quoted(p), "array<string>"), 0), F.lit("\n"), line_break)).otherwise(p))
     plain = F.replace(F.replace(F.array_join(opened, ""), F.lit(CODE_OPEN), F.lit("")), F.lit(CODE_CLOSE), F.lit(""))
     return F.replace(plain, F.lit("\\n"), line_break)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.functions import events as fn
+from tallyroom.operators.lookup import lookup
 from tallyroom.operators.ordered import running
 
 EVENT = ["namespace", "mailId", "timestamp", "message"]
@@ -27,7 +28,7 @@ def max_ts_by_namespace(events: DataFrame) -> DataFrame:
 
 def since_watermark(events: DataFrame, last: DataFrame) -> DataFrame:
     """Events not before the last stored second of their namespace."""
-    joined = events.join(last, "namespace", "left")
+    joined = lookup(events, last, ["namespace"])
     return joined.where(F.col("last").isNull() | (F.col("last") <= F.col("timestamp"))).select(*events.columns)
 
 
@@ -35,11 +36,12 @@ def event_not_seen(events: DataFrame, stored: DataFrame, last: DataFrame) -> Dat
     """Events to store: those at the boundary second only once and only if not stored yet.
 
     Boundary rows are made distinct on the map side first, so that any number of copies of
-    one line costs one row per task; stored rows are read at the boundary second only.
+    one line costs one row per task; stored rows are read at the boundary second only. No row is
+    shuffled by its namespace.
     """
-    bounded = events.select(*EVENT).join(last, "namespace", "left")
+    bounded = lookup(events.select(*EVENT), last, ["namespace"])
     at_bound = F.coalesce(F.col("timestamp") == F.col("last"), F.lit(False))
-    seen = stored.join(last.withColumnRenamed("last", "timestamp"), ["namespace", "timestamp"], "left_semi")
+    seen = lookup(stored, last.withColumnRenamed("last", "timestamp"), ["namespace", "timestamp"], "left_semi")
     fresh = bounded.where(at_bound).select(*EVENT).distinct().join(seen.select(*EVENT).distinct(), EVENT, "left_anti")
     return bounded.where(~at_bound).select(*EVENT).unionByName(fresh.select(*EVENT))
 

@@ -69,6 +69,7 @@ def row_facts(cells: DataFrame) -> DataFrame:
         F.max(F.col("col_idx") == 2).alias("has_c2"),
         F.bool_and(blank).alias("all_blank"),
         F.min(F.when(~blank, F.struct("col_idx", "text")))["text"].alias("first_text"),
+        F.min(F.when(fn.is_unreadable(F.col("cell_type")), F.col("col_idx"))).alias("unreadable"),
         F.sort_array(F.collect_list(cell)).alias("cells"))
     skipped = F.col("first_text").isNull() | fn.is_commented(F.col("first_text"))
     return facts.select("*", skipped.alias("skipped"))
@@ -120,12 +121,17 @@ def drop_leading(rows: DataFrame) -> DataFrame:
 def question_type(rows: DataFrame) -> DataFrame:
     """One record per question: its id, its type and what is fatally wrong with it.
 
-    Comment rows are not skipped here. Only aggregates, so any question size will do.
+    Comment rows are not skipped here. Only aggregates, so any question size will do. A cell that cannot be read, outside comment
+    rows, is fatal to its question before anything else; those before the first question belong to none.
     """
     label = F.struct("row_idx", "c1", "c2", "has_c2")
+    unreadable = F.col("unreadable") if "unreadable" in rows.columns else F.lit(None).cast("int")
+    lost = unreadable.isNotNull() & ~fn.is_commented(F.col("first_text")) if "unreadable" in rows.columns else F.lit(False)
     heads = rows.groupBy("workbook_id", "q_seq").agg(
         F.min_by("c0", "row_idx").alias("qid"),
-        F.min(F.when(F.col("c1") != "", label)).alias("_t"))
+        F.min(F.when(F.col("c1") != "", label)).alias("_t"),
+        F.min(F.when(lost, F.struct("row_idx", unreadable.alias("col_idx")))).alias("_lost"))
+    nowhere = fn.cell_place(F.col("_lost.row_idx"), F.col("_lost.col_idx"), F.lit(""), F.lit(True))
     labelled = F.lower("_t.c1") == "type"
     place = fn.cell_place(F.col("_t.row_idx"), F.lit(1), F.col("_t.c1"), F.lit(True))
     not_found = F.lit("Question type not found")
@@ -133,7 +139,8 @@ def question_type(rows: DataFrame) -> DataFrame:
         "workbook_id", "q_seq", "qid", F.col("_t.row_idx").alias("type_row"),
         F.when(labelled, F.col("_t.c2")).alias("qtype"),
         F.coalesce("_t.has_c2", F.lit(False)).alias("has_type_cell"),
-        F.when(F.col("_t").isNull(), fn.error_text(not_found, F.col("qid")))
+        F.when(F.col("_lost").isNotNull(), fn.error_text(F.lit("Unreadable cell"), F.col("qid"), place=nowhere))
+        .when(F.col("_t").isNull(), fn.error_text(not_found, F.col("qid")))
         .when(~labelled, fn.error_text(not_found, F.col("qid"), place=place)).alias("fatal"))
 
 

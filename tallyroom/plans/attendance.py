@@ -129,7 +129,17 @@ def _with(body: str, ctes: str = "") -> str:
     return f"with {b.READINGS_SQL}{ctes} {body}"
 
 
+def _fold_sql(text: str) -> str:
+    one, several = fn.fold_table()
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    out = f"translate({text}, {quote(''.join(one))}, {quote(''.join(one.values()))})"
+    for letter, spelled in several.items():
+        out = f"replace({out}, {quote(letter)}, {quote(spelled)})"
+    return out
+
+
 ORACLES = {
+    "ascii_fold": f"select doc_id, {_fold_sql('text')} as folded from documents",
     "scan_all": "select * from nation",
     "scan_filter_eq": "select p_partkey, p_name, p_brand from part where p_brand = 'Brand#7'",
     "append_reading": _with('select "tagId", time, action from readings'),

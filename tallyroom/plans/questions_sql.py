@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyroom.operators import report
 from tallyroom.operators.dictionary import column_rules, field_rules
 from tallyroom.plans import grid
 
@@ -159,12 +160,63 @@ _DOCS = _TABLES + """,
    || string_agg(message, chr(10) order by q_seq, pos, message) as t from messages group by 1, 2)"""
 
 
+def _code_out(text: str) -> str:
+    """The code of a text out of its quotes and marks."""
+    lines = "chr(10) || repeat(' ', 9)"
+    pieces = f"""string_split_regex({text}, '"##JS##|##JS-END##"')"""
+    opened = f"""list_transform({pieces}, lambda p, i: case when i % 2 = 1 then p when p = '' then '""'
+      else replace(json_extract_string('["' || p || '"]', '$[0]'), chr(10), {lines}) end)"""
+    return f"replace(replace(replace(array_to_string({opened}, ''), '##JS##', ''), '##JS-END##', ''), '\\n', {lines})"
+
+
+def _set_in(text: str, extra: int = 0) -> str:
+    return f"replace(regexp_replace({text}, '\\n+$', ''), chr(10), chr(10) || repeat(' ', {7 + extra}))"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_HEAD, _REST = report.MODULE_TEXT.split("{notes}")
+_MIDDLE, _TAIL = _REST.split("{questions}")
+
+# Documents over several lines: by tokens, each with the depth of objects and the container it stands in.
+_PRETTY = _DOCS + """,
+ tokens as (select workbook_id, q_seq, generate_subscripts(t, 1) as i, unnest(t) as t from (select workbook_id, q_seq,
+   regexp_extract_all(body, '"(?:[^"\\\\]|\\\\.)*"|[{}\\[\\],:]|[^"{}\\[\\],:]+') as t from bodies) x),
+ deep as (select *, sum(case t when '{' then 1 when '}' then -1 else 0 end) over w as d, lag(t) over w as was, lead(t) over w as next,
+   sum(case when t in ('{', '[') then 1 when t in ('}', ']') then -1 else 0 end) over w as level
+   from tokens window w as (partition by workbook_id, q_seq order by i)),
+ held as (select *, last_value(case when t in ('{', '[') then t end ignore nulls) over (partition by workbook_id, q_seq, level order by i) as holder from deep),
+ docs as (select workbook_id, q_seq, string_agg(case when t = '{' and next <> '}' then '{' || chr(10) || repeat('  ', d::int)
+     when t = '}' and was <> '{' then chr(10) || repeat('  ', d::int) || '}'
+     when t = ',' and holder = '{' then ',' || chr(10) || repeat('  ', d::int) else t end, '' order by i) as doc from held group by 1, 2)"""
+
+_MODULES = _PRETTY + f""",
+ codes as (select workbook_id, q_seq, case when starts_with(v, '"') then json_extract_string('[' || v || ']', '$[0]') else v end as code from once where k = 'code'),
+ marks as (select workbook_id, q_seq, string_agg('/* ' || {_set_in("error", 2)} || ' */ ' || chr(10) || repeat(' ', 7), '' order by pos) as marks from errs group by 1, 2),
+ texts as (select k.workbook_id, k.q_seq, case when k.fatal is not null then '/* ' || k.fatal || ' */'
+     when b.qtype = 'JsCode' then {_set_in("coalesce(c.code, '')")} else coalesce(m.marks, '') || 'qs.push(' || {_set_in("d.doc")} || ')' end as text
+   from known k left join bodies b on b.workbook_id = k.workbook_id and b.q_seq = k.q_seq left join docs d on d.workbook_id = k.workbook_id and d.q_seq = k.q_seq
+   left join codes c on c.workbook_id = k.workbook_id and c.q_seq = k.q_seq left join marks m on m.workbook_id = k.workbook_id and m.q_seq = k.q_seq),
+ whole as (select workbook_id, string_agg(text, chr(13) || chr(10) || chr(13) || chr(10) || repeat(' ', 7) order by q_seq) as body from texts group by 1),
+ said as (select workbook_id, string_agg('/* ' || note || ' */', '' order by q_seq, note) as notes from notes group by 1),
+ modules as (select w.workbook_id, {_code_out(f"({_quoted(_HEAD)} || coalesce(s.notes, '') || {_quoted(_MIDDLE)} || w.body || {_quoted(_TAIL)})")} as js
+   from whole w left join said s on s.workbook_id = w.workbook_id),
+ reports as (select w.workbook_id, coalesce(string_agg(s.t, chr(10) || chr(10) order by s.section), '') as notifications
+   from (select distinct workbook_id from known) w left join sections s on s.workbook_id = w.workbook_id group by 1)"""
+
+
 def _on(ctes: str, body: str) -> str:
     body = body.strip()
     return f"with {ctes}{body}" if body.startswith(",") else f"with {ctes} {body}"
 
 
 _T = "workbook_id, q_seq, title_row"
+_PATHS = """paths as (select '/in/' || replace(p_name, ' ', '%20') || '.' || p_partkey || '.' || ['xls', 'xlsx', 'csv', 'XLS', 'x%6Cs'][p_partkey % 5 + 1] as path,
+   p_partkey % 13 <> 0 as found, p_partkey % 5 < 2 as good from part),
+ routes as (select path, case when found and good then replace(path, '%20', ' ') end as read_from,
+   case when not found then 'File Not Found: ' || path when not good then 'Only xls and xlsx formats are supported' end as error from paths)"""
 ORACLES = {
     "sheet_rows": _on(_CELLS, """, present as (select workbook_id, row_idx, count(*) as n from valued group by 1, 2),
        every as (select workbook_id, unnest(range(min(row_idx), max(row_idx) + 1)) as row_idx from present group by 1)
@@ -228,10 +280,12 @@ ORACLES = {
     "union_notifications": _on(_DOCS, "select workbook_id, section, q_seq, cast(pos as int) as pos, message from messages"),
     "severity_report": _on(_DOCS, """select w.workbook_id, coalesce(string_agg(s.t, chr(10) || chr(10) order by s.section), '') as notifications
        from (select distinct workbook_id from known) w left join sections s on s.workbook_id = w.workbook_id group by 1"""),
-    "workbook_catalog": """
-      with p as (select '/in/' || replace(p_name, ' ', '%20') || '.' || p_partkey || '.' || ['xls', 'xlsx', 'csv', 'XLS', 'x%6Cs'][p_partkey % 5 + 1] as path,
-        p_partkey % 13 <> 0 as found, p_partkey % 5 < 2 as good from part)
-      select path, case when found and good then replace(path, '%20', ' ') end as read_from,
-        case when not found then 'File Not Found: ' || path when not good then 'Only xls and xlsx formats are supported' end as error from p""",
+    "code_unquote": _on(_PRETTY, f"select workbook_id, q_seq, {_code_out('doc')} as code from docs"),
+    "render_module": _on(_MODULES, "select workbook_id, js from modules"),
+    "result_json": _on(_MODULES, f""", {_PATHS}
+      select m.workbook_id, '{{' || chr(10) || '  "js":' || cast(to_json(js) as varchar) || ',' || chr(10) || '  "notifications":'
+        || cast(to_json(notifications) as varchar) || chr(10) || '}}' as json from modules m join reports r on r.workbook_id = m.workbook_id
+      union all select path, '{{' || chr(10) || '  "error":' || cast(to_json(error) as varchar) || chr(10) || '}}' from routes where error is not null"""),
+    "workbook_catalog": f"with {_PATHS} select * from routes",
 }
 ORACLES["is_commented"] = ORACLES["is_blank"]

@@ -1,7 +1,10 @@
 """Plans of lazily built queries: what must and must not be in them."""
 
+import re
+
 import pytest
 
+from tallyroom.operators import lookup
 from tallyroom.plans import catalog
 
 D = "/root/testdata/sf0.001"
@@ -40,3 +43,32 @@ def test_ranges_of_readings_need_one_shuffle(spark):
 
 def test_latest_reading_is_combined_before_the_shuffle(spark):
     assert "partial_max_by" in plan_of(spark, "latest_one")
+
+
+@pytest.mark.parametrize("name", ["since_watermark", "event_not_seen"])
+@pytest.mark.parametrize("measured", [True, False])
+def test_no_event_is_shuffled_by_its_namespace_alone(spark, monkeypatch, name, measured):
+    """Whatever Spark's own limit: a small table is measured and broadcast, a large one meets rows that are salted."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 10**6 if measured else 0)
+    try:
+        plan = plan_of(spark, name).split("== Physical Plan ==")[1]
+        got = sorted(map(str, catalog.QUERIES[name](spark, D).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"Exchange hashpartitioning\(namespace#\d+, \d+\)", plan)
+    assert ("BroadcastHashJoin [namespace" in plan) == measured and ("_salt" in plan) != measured
+    monkeypatch.undo()
+    assert got == sorted(map(str, catalog.QUERIES[name](spark, D).collect()))
+
+
+def test_lookups_give_the_same_joins_salted_or_not(spark, monkeypatch):
+    rows = spark.range(200).selectExpr("id", "case when id % 3 = 0 then null when id < 150 then 'hot' else cast(id as string) end as k")
+    small = spark.createDataFrame([("hot", 1), ("160", 2), ("161", 3), (None, 4)], "k string, v int")
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        found = []
+        for limit in (10**6, 0):
+            monkeypatch.setattr(lookup, "BROADCAST_BYTES", limit)
+            df = lookup.lookup(rows, small, ["k"], how)
+            found.append((df.columns, sorted(map(str, df.collect()))))
+        assert found[0] == found[1] == (df.columns, sorted(map(str, rows.join(small, "k", how).collect())))

@@ -26,6 +26,27 @@ def test_cells(spark, grid):
                    5: ("x", '"x"'), 6: ("", None), 7: ("true", "true"), 8: ("2147483647", "2147483647"), 9: ("1", '"1"')}
 
 
+def test_an_unreadable_cell_is_fatal_to_its_question_only(grid):
+    book = [*ask("Q1", "Info", [None, "Question text", "a"]), *ask("Q2", "Info", [None, "Question text", "b"], [None, "Optional", "+"]),
+            *ask("Q3", "Info", ["# not", "read", "c"])]
+    cells = grid(book)
+    odd = F.when((F.col("row_idx") == 4) & (F.col("col_idx") == 2), "formula").when((F.col("row_idx") == 6) & (F.col("col_idx") == 2), "error")
+    got = {r.q_seq: r for r in report.convert(cells.withColumn("cell_type", F.coalesce(odd, F.col("cell_type")))).collect()}
+    assert got[2].fatal == "Unreadable cell for question 'Q2' at cell 4:2 - ''" and got[2].doc is None
+    assert got[1].fatal is None and got[3].fatal is None  # a comment row is not read
+
+
+def test_blank_code_stays_an_empty_string(spark):
+    text = '{\n  "a":"##JS####JS-END##",\n  "b":"##JS##x\\ny##JS-END##"\n}'
+    got = spark.createDataFrame([(text,)], "t string").select(fn.code_unquote(F.col("t")).alias("c")).first().c
+    assert got == '{\n  "a":"",\n  "b":x\n         y\n}'
+
+
+def test_several_shuffle_columns_are_a_warning(grid):
+    said = one(grid, *ask("Q1", "RadioGroup", [None, "Items"], [None, "Code", "Text", "Shuffle", "Shuffle"], [None, 1.0, "a", "+", "-"], [None, 2.0, "b", "-", "-"]))
+    assert len(said.warnings) == 1 and said.warnings[0].startswith("Multiple shuffle columns found for one table at rows ")
+
+
 def test_comment_and_blank_rows(grid):
     facts = {r.row_idx: r.skipped for r in sheets.row_facts(grid([["#a"], [None, "#b"], ["", "x"], [""]])).collect()}
     assert facts == {0: True, 1: True, 2: False, 3: True}
