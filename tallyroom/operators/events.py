@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.functions import events as fn
 from tallyroom.operators.lookup import lookup
-from tallyroom.operators.ordered import running
+from tallyroom.operators.ordered import running, with_ranges
 
 EVENT = ["namespace", "mailId", "timestamp", "message"]
 EVENT_SCHEMA = "namespace string, mailId string, timestamp string, message string"
@@ -46,9 +46,10 @@ def event_not_seen(events: DataFrame, stored: DataFrame, last: DataFrame) -> Dat
     return bounded.where(~at_bound).select(*EVENT).unionByName(fresh.select(*EVENT))
 
 
-def out_of_order(events: DataFrame, order: list[str], bucket: Column) -> DataFrame:
-    """Events earlier than the one that arrived before them in their namespace."""
-    before = running(events, ["namespace"], order, bucket, previous={"previous": F.col("timestamp")})
+def out_of_order(events: DataFrame, order: list[str]) -> DataFrame:
+    """Events earlier than the one that arrived before them in their namespace. ``order`` begins with a number."""
+    ranged = with_ranges(events, ["namespace"], F.col(order[0]))
+    before = running(ranged, ["namespace"], order, None, previous={"previous": F.col("timestamp")}, once=True)
     return before.where(F.col("timestamp") < F.col("previous"))
 
 

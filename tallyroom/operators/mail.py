@@ -54,7 +54,7 @@ def batch_chunks(pending: DataFrame, size: int = BATCH_ROWS, hash_digits: int =
     numbered by many tasks at once.
     """
     cut = pending.withColumn("_h", F.substring(F.md5("rowId"), 1, hash_digits))
-    numbered = running(cut, ["taskId"], ["_h", "rowId"], F.col("_h"), sums={"_n": F.lit(1)})
+    numbered = running(cut, ["taskId"], ["_h", "rowId"], F.col("_h"), sums={"_n": F.lit(1)}, once=True)
     place = F.col("_n") - 1
     return numbered.select(
         *pending.columns,

@@ -4,14 +4,20 @@ A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Here a
 key is cut into ranges of its own order (``bucket`` must not decrease along the
 order), the window runs inside ``(key, bucket)``, and one summary row per bucket
 carries what earlier buckets contribute. The wide rows are shuffled once, by
-``(key, bucket)``; the summaries are combined on the map side first and joined
-back on the same hash keys, so the join adds no shuffle of the wide rows.
+``(key, bucket)``; the summaries are joined back on the same hash keys, so the join adds no
+shuffle of the wide rows. Summaries come from the same shuffle where the caller keeps all
+columns (``once``), so the input is evaluated once; otherwise they are combined on the map
+side from the few columns they need.
+
+Where buckets are ranges of a position, ``with_ranges`` takes them from a sketch of each key's
+quantiles, so a burst is cut as finely as it is dense, and no job runs before the query does.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 _BUCKET = "_bucket"
 
@@ -20,21 +26,23 @@ def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    bucket: Column,
+    bucket: Column | None,
     sums: dict[str, Column] | None = None,
     mins: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
     partitioned: bool = False,
+    once: bool = False,
 ) -> DataFrame:
     """Add running sums and minima up to and with each row, and values of the row before.
 
     Keys and order columns must not be null, and the order must be total within a key.
     The rows are spread by key and bucket explicitly, since a coarser partitioning left by
     an earlier join on the keys would satisfy the window too and keep a hot key whole;
-    ``partitioned`` says that they already are spread so.
+    Without ``bucket`` the rows carry the ranges of ``with_ranges``. ``partitioned`` says that they already are spread so. ``once`` is for callers that use all
+    columns of the result.
     """
     sums, mins, previous = sums or {}, mins or {}, previous or {}
-    cut = df.withColumn(_BUCKET, bucket)
+    cut = df if bucket is None else df.withColumn(_BUCKET, bucket)
     inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -45,7 +53,11 @@ def running(
         *[F.min(e).over(upto).alias(f"_l_{n}") for n, e in mins.items()],
         *[F.lag(F.struct(e.alias("v"))).over(inside).alias(f"_l_{n}") for n, e in previous.items()],
     )
-    summary = cut.groupBy(*keys, _BUCKET).agg(
+    # A summary that mentions every column needs the same shuffle as the rows, which Spark then runs once.
+    every = [F.size(c) if isinstance(cut.schema[c].dataType, MapType) else F.col(f"`{c}`") for c in cut.columns]
+    mention = [F.max(F.xxhash64(*every)).alias("_every")] if once else [F.lit(0).alias("_every")]
+    summary = (spread if once else cut).groupBy(*keys, _BUCKET).agg(
+        *mention,
         *[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()],
         *[F.min(e).alias(f"_s_{n}") for n, e in mins.items()],
         *[F.max_by(F.struct(e.alias("v")), F.struct(*order)).alias(f"_s_{n}") for n, e in previous.items()],
@@ -53,7 +65,7 @@ def running(
     earlier = (
         Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = summary.select(
+    carried = summary.where("_every is not null").select(
         *keys,
         _BUCKET,
         *[F.sum(f"_s_{n}").over(earlier).alias(f"_c_{n}") for n in sums],
@@ -62,7 +74,7 @@ def running(
     )
     joined = local.join(carried, [*keys, _BUCKET], "left")
     return joined.select(
-        *df.columns,
+        *[c for c in df.columns if c != _BUCKET],
         *[
             (F.coalesce(F.col(f"_c_{n}"), F.lit(0)) + F.coalesce(F.col(f"_l_{n}"), F.lit(0)))
             .cast("bigint").alias(n)
@@ -73,6 +85,17 @@ def running(
     )
 
 
+def with_ranges(df: DataFrame, keys: list[str], position: Column, ranges: int = 256) -> DataFrame:
+    """Give ``running`` its ranges: those of ``position``, a number, that hold about as many rows of a key each.
+
+    The cuts come from a sketch of each key's quantiles; a position that holds many rows is one range, and ties are never cut.
+    """
+    steps = [i / ranges for i in range(1, ranges)]
+    cuts = df.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile_approx(position, steps, 4 * ranges))).alias("_cuts"))
+    place = F.size(F.filter("_cuts", lambda c: c <= position)).cast("bigint")
+    return df.join(cuts, keys).withColumn(_BUCKET, place).drop("_cuts")
+
+
 def range_width(df: DataFrame, position: Column, rows: int = 3_000_000, least: int = 60, most: int = 86400) -> int:
     """Width of ranges of ``position`` that hold about ``rows`` rows each.
 

@@ -101,7 +101,7 @@ def split_questions(rows: DataFrame) -> DataFrame:
     starts = starts_question(F.col("c0"))
     counted = running(
         rows, ["workbook_id"], ["row_idx"], F.col("row_block") if "row_block" in rows.columns else row_bucket(),
-        partitioned="row_block" in rows.columns,
+        partitioned="row_block" in rows.columns, once=True,
         sums={"_kept": flag(~F.col("skipped")), "_starts": flag(starts), "_labelled": flag(F.col("c1") != "")},
         mins={"_lead": F.when(~F.col("skipped"), F.struct("row_idx", flag(starts).alias("starts")))})
     orphan = F.when(F.col("_lead.starts") == 0, F.lit(1)).otherwise(F.lit(0))

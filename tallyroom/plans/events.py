@@ -44,7 +44,7 @@ def event_not_seen(spark: SparkSession, d: str) -> DataFrame:
 
 
 def out_of_order(spark: SparkSession, d: str) -> DataFrame:
-    return op.out_of_order(_parsed(spark, d), ORDER, b.log_range(b.log_lines(spark, d))).select(
+    return op.out_of_order(_parsed(spark, d).select("namespace", *ORDER, "timestamp"), ORDER).select(
         "namespace", "event_id", "timestamp", "previous")
 
 

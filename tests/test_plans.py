@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from tallyroom.operators import lookup
+from tallyroom.operators import lookup, ordered
 from tallyroom.plans import catalog
 
 D = "/root/testdata/sf0.001"
@@ -72,3 +74,32 @@ def test_lookups_give_the_same_joins_salted_or_not(spark, monkeypatch):
             df = lookup.lookup(rows, small, ["k"], how)
             found.append((df.columns, sorted(map(str, df.collect()))))
         assert found[0] == found[1] == (df.columns, sorted(map(str, rows.join(small, "k", how).collect())))
+
+
+@pytest.mark.parametrize("name, scans", [("out_of_order", 2), ("batch_chunks", 4), ("split_questions", 1)])
+def test_running_windows_evaluate_their_input_once(spark, name, scans):
+    """The summary of ranges reads the shuffle of the rows again. Ranges of arrivals take one narrow scan for the sketch; pending
+    rows come from four tables."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("building"))
+    spark.sparkContext.setJobGroup("building", name)
+    try:
+        plan = catalog.QUERIES[name](spark, D)._jdf.queryExecution().executedPlan().toString()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) - before
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sparkContext.setJobGroup("rest", "rest")
+    assert plan.count("FileScan") == scans and "ReusedExchange" in plan
+    assert jobs <= scans  # reading the schema of a table is a job of its own
+
+
+def test_a_burst_is_cut_like_the_rest(spark):
+    """Nine of ten rows in one second of a day: ranges by quantiles hold about as many rows each."""
+    rows = spark.range(10_000).selectExpr("'n' as k", "id", "case when id % 10 = 0 then id * 8640000 else 43200000000 + id * 100 end as at")
+    cut = ordered.with_ranges(rows, ["k"], F.col("at"), ranges=50)
+    sizes = [r.n for r in cut.groupBy("_bucket").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 45 and max(sizes) <= 500
+    got = ordered.running(cut, ["k"], ["at", "id"], None, sums={"n": F.lit(1)}, previous={"before": F.col("id")}, once=True)
+    by = Window.partitionBy("k").orderBy("at", "id")
+    want = rows.withColumn("n", F.row_number().over(by).cast("bigint")).withColumn("before", F.lag("id").over(by))
+    assert sorted(map(tuple, got.select("id", "n", "before").collect())) == sorted(map(tuple, want.select("id", "n", "before").collect()))
