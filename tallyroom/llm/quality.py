@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import UPPER, documents, words
+from tallyroom.llm.common import UPPER, documents, packed, unpacked, words, written
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 RISK, ALPHA = 0.02, 0.05
@@ -112,23 +112,39 @@ def thresholds(holdout: DataFrame, risk: float = RISK, alpha: float = ALPHA) ->
         "stratum", "rule", (-F.col("best.minus")).alias("cutoff"))
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs``, MEASURED, base_failed and kept."""
-    found = measured(docs).withColumn("_stratum", F.coalesce(F.col("lang").cast("string"), F.lit("?")))
+def _verdicts(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
+    """``_row`` (the given columns of ``docs`` as c0, c1 ...), MEASURED, base_failed and kept.
+
+    Texts are measured once: the measures are written, thresholds and verdicts read them.
+    """
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("_stratum")
+    found = written(measured(docs.select(packed(columns), F.col("doc_id").alias("_id"), lang, "text")).drop("text"), "measures")
     x = measures()
-    known = found.select("doc_id", F.col("_stratum").alias("stratum"), *[x[r].alias(r) for r in CUTOFFS]).join(labels.select("doc_id", "quality"), "doc_id")
+    marks = labels.select(F.col("doc_id").alias("_id"), "quality")
+    known = found.select("_id", F.col("_stratum").alias("stratum"), *[x[r].alias(r) for r in CUTOFFS]).join(marks, "_id")
     cuts = thresholds(known.where("quality is not null"))
     wide = cuts.groupBy("stratum").pivot("rule", list(CUTOFFS)).agg(F.min("cutoff"))  # a row for each language
     wide = wide.select(F.col("stratum").alias("_stratum"), *[F.col(r).alias(f"_cut_{r}") for r in CUTOFFS])
     rejected = reduce(lambda a, b: a | b, [F.coalesce(x[r] > F.col(f"_cut_{r}"), F.lit(False)) for r in CUTOFFS])
-    joined = found.join(wide, "_stratum", "left").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
-    return joined.select(*[f"`{c}`" for c in docs.columns if c not in (*MEASURED, "n_capitals", "base_failed", "kept")], *MEASURED, "base_failed", "kept")
+    joined = found.join(wide, "_stratum", "left").withColumn("base_failed", base_failed())
+    return joined.select("_row", *MEASURED, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))
+
+
+def judged(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all), MEASURED, base_failed and kept; of these names a column that is taken gives way."""
+    columns = docs.columns if columns is None else columns
+    new = (*MEASURED, "base_failed", "kept")
+    return _verdicts(docs, labels, columns).select(*unpacked(columns, [c for c in columns if c not in new]), *new)
+
+
+def survivors(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that are kept, with all their columns as they are, whatever their names."""
+    return _verdicts(docs, labels, docs.columns).where("kept").select(*unpacked(docs.columns))
 
 
 def op9_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return judged(docs, labels).select("doc_id", *MEASURED, "base_failed", "kept")
+    return judged(documents(spark, sf_dir), labels, ["doc_id"]).select("doc_id", *MEASURED, "base_failed", "kept")
 
 
 QUERIES = {"op9_risk_controlled_quality": op9_risk_controlled_quality}
