@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import documents, n_words, written
+from tallyroom.llm.common import documents, n_words, numbered, unpacked, written
 
 WEIGHTS, SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2
 #: Documents of a bucket and buckets of a bucket above.
@@ -118,9 +118,9 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS)], [n for n, _ in _FIELDS])
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, row, size, source_size, target, copies. ``row`` is monotonically_increasing_id() of ``docs``."""
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
+def copies(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, row, size, source_size, target, copies. ``row`` tells rows of one id apart and is any number without it."""
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.monotonically_increasing_id() if row is None else row).alias("row"),
                                F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "sizes")
     goals = written(targets(rows), "targets")
     most = goals.agg(F.max("n")).first()[0] or 1
@@ -148,11 +148,11 @@ def copies(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, a table that is read the same way twice, each as often as the mix takes it."""
-    taken = copies(docs).where("copies > 0").select(F.col("row").alias("_mix_row"), F.col("copies").alias("_mix_copies"))
-    names = docs.columns
-    numbered = docs.withColumn("_mix_row", F.monotonically_increasing_id())
-    return numbered.join(taken, "_mix_row").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*[f"`{c}`" for c in names])
+    """The rows of ``docs``, each as often as the mix takes it."""
+    names, table = docs.columns, numbered(docs)
+    taken = copies(table.select("_id", *unpacked(names, ["doc_id", "source", "text"])), F.col("_id")).where("copies > 0")
+    joined = table.join(taken.select(F.col("row").alias("_id"), "copies"), "_id")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*unpacked(names))
 
 
 def op7_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,15 +60,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * set_in > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, row, fp`` with the fingerprint as a signed long; ``row`` is monotonically_increasing_id() of ``docs``."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, row: Column | None = None) -> DataFrame:
+    """``doc_id, row, fp`` with the fingerprint as a signed long; ``row`` tells rows of one id apart and is any number without it."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fps.view(np.int64))], ["doc_id", "row", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.monotonically_increasing_id() if row is None else row).alias("row"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(marked, "doc_id long, row long, fp long")
 
 
@@ -202,9 +202,9 @@ def _manhattan(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(one | two).astype(np.int64) + np.bitwise_count(two & ~one)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, row: Column | None = None) -> DataFrame:
     """``doc_id, row, fp, component_id``: the smallest doc_id that is reachable over links, itself included."""
-    marked = written(fingerprints(docs, shingle), "fingerprints")
+    marked = written(fingerprints(docs, shingle, row), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     found = components(links(distinct, bits))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

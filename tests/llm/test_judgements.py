@@ -39,6 +39,20 @@ def test_measures(make, odd_rows, none, spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_foreign_columns_pass_through_with_their_values(spark):
+    """Names that the operator uses itself, and one with a dot."""
+    names = ["n_capitals", "a.b", "_text", "_lines", "_passes", "kept", "n_words", "_stratum", "_row", "_id", "base_failed", "quality", "stratum"]
+    text = " ".join(f"word{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text, "en", *range(700, 700 + len(names))), (2, "short", None, *range(len(names)))],
+                                 "doc_id bigint, text string, lang string, " + ", ".join(f"`{n}` int" for n in names))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    kept = quality.survivors(docs, labels)
+    assert kept.columns == docs.columns
+    assert [tuple(r) for r in kept.collect()] == [(1, text, "en", *range(700, 700 + len(names)))]
+    got = {r.doc_id: r for r in quality.judged(docs, labels).collect()}
+    assert got[1].n_words == 40 and got[1].kept and got[2].base_failed and got[1]["a.b"] == 701
+
+
 def test_binomial_tail(spark):
     cases = [(0, 100), (3, 1000), (40, 10_000), (9, 20), (0, 1), (700, 90_000)]
     rows = spark.createDataFrame(cases, "k bigint, n bigint").withColumn("p", quality.tail(F.col("k"), F.col("n"), 0.01)).collect()
@@ -96,7 +110,7 @@ def test_toxicity(spark, make, none):
 @pytest.mark.parametrize("name", list(catalog.ORACLES))
 def test_twin(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "labels", "conversations"):
+    for t in ("documents", "labels", "conversations", "pages"):
         db.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
     df = catalog.QUERIES[name](spark, D)
     found = db.execute(catalog.ORACLES[name])
@@ -123,3 +137,17 @@ def test_pipeline_stages(spark, stored, odd_rows, none, tmp_path):
     assert {r.doc_id for r in seen[4]} == {r.doc_id for r in seen[3]}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(folder)).count() == 0
+
+
+def test_stages_do_not_make_row_ids_anew_when_they_are_read(spark, stored, tmp_path):
+    """Ids of a second read name other rows where files are cut otherwise, so ids are written once and joined."""
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.mix):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+        df = stage(spark, stored, "")
+        assert "monotonically_increasing_id" not in df._jdf.queryExecution().toString()
+        many = sorted(map(str, df.collect()))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")  # many more tasks when the result is read
+        try:
+            assert sorted(map(str, df.collect())) == many
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
