@@ -12,15 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyroom.llm import grace, mixing, packing, quality, simhash
+from tallyroom.llm.common import numbered, unpacked
 from tallyroom.workspace import new_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    judged = quality.judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    # A filter is not pushed below a generator; pushed down, it would split a text again for each of its windows.
-    columns = [f"`{c}`" for c in docs.columns]
-    return judged.select(*columns, F.explode(F.array("kept")).alias("_passes")).where("_passes").select(*columns)
+    return quality.survivors(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +28,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest id; of rows that share it, the first."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")).select(F.col("m.row").alias("_kept_row"))
-    numbered = docs.withColumn("_kept_row", F.monotonically_increasing_id())
-    return numbered.join(first, "_kept_row").select(*[f"`{c}`" for c in docs.columns])
+    names, table = docs.columns, numbered(docs)
+    groups = simhash.near_duplicates(table.select("_id", *unpacked(names, ["doc_id", "text"])), row=F.col("_id"))
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m"))
+    return table.join(first.select(F.col("m.row").alias("_id")), "_id").select(*unpacked(names))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
