@@ -16,7 +16,8 @@ from tallyroom.sources.tables import update_by_id
 
 INDEX = "bucket int, path string, buckets int"
 RUN = "table"
-BUCKETS = 64
+#: A table begins with a bucket for so many rows, and with so many buckets at least and at most.
+BUCKET_ROWS, FEWEST, MOST = 100_000, 8, 4096
 
 
 class Conflict(RuntimeError):
@@ -27,7 +28,7 @@ def _index(spark: SparkSession, folder: str) -> tuple[int, dict[int, str], int]:
     """The version, the path of each bucket and the number of buckets."""
     newest = store.commits(spark, folder).agg(F.max("batch")).first()[0]
     rows = store.read_batches(spark, folder, INDEX, "index", RUN, last=True).collect()  # a row for each bucket
-    return (-1 if newest is None else newest), {r["bucket"]: r["path"] for r in rows}, (rows[0]["buckets"] if rows else BUCKETS)
+    return (-1 if newest is None else newest), {r["bucket"]: r["path"] for r in rows}, (rows[0]["buckets"] if rows else FEWEST)
 
 
 def _bucket(key: str, buckets: int) -> Column:
@@ -44,8 +45,7 @@ def _swap(rows: DataFrame, folder: str, key: str, version: int, paths: dict[int,
     spark = rows.sparkSession
     attempt = store.write_attempt({}, folder, version + 1, RUN)
     root = f"{folder}/data/{RUN}/{version + 1}/{attempt}"
-    # Rows of a bucket may fill several tasks and files.
-    rows.withColumn("_bucket", _bucket(key, buckets)).repartition("_bucket", F.xxhash64(key) % 8).write.partitionBy("_bucket").parquet(f"{root}/rows")
+    rows.withColumn("_bucket", _bucket(key, buckets)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{root}/rows")
     paths = paths | {k: f"{root}/rows/_bucket={k}" for k in touched}
     spark.createDataFrame([(k, p, buckets) for k, p in sorted(paths.items())], INDEX).coalesce(1).write.parquet(f"{root}/index")
     try:
@@ -59,10 +59,12 @@ def _touched(rows: DataFrame, key: str, buckets: int) -> list[int]:
 
 
 def insert(rows: DataFrame, folder: str, key: str, schema: str, buckets: int | None = None) -> None:
-    """Add rows; columns that ``rows`` lacks are null. Keys are taken to be new; ``buckets`` counts for the first rows only."""
+    """Add rows; columns that ``rows`` lacks are null. Keys are taken to be new; ``buckets`` counts for the first rows only,
+    which decide it by their number without it."""
     spark = rows.sparkSession
     version, paths, known = _index(spark, folder)
-    known = known if paths else (buckets or BUCKETS)
+    if not paths:
+        known = buckets or min(MOST, max(FEWEST, rows.count() // BUCKET_ROWS))
     empty = spark.createDataFrame([], schema)
     new = empty.unionByName(rows, allowMissingColumns=True)
     touched = _touched(new, key, known)
