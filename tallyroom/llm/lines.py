@@ -2,29 +2,29 @@
 
 A line is compared by its shingles: runs of ``SHINGLE`` characters after lower-casing and folding white space, a
 shorter line being one shingle. Exact copies are one line from the start, so a line shorter than a shingle is like no
-other. All shingles of a line are hashed at once; hashes are dealt to ``BINS`` bins, each bin's least hash is a MinHash,
-and an empty bin takes the next one's. Three bins are a band; lines that share a band are candidates, which finds a
-pair of similarity 0.8 in more than 99 of 100 cases.
+other. Shingles are taken from the line's UTF-32 form and known by 64-bit hashes; two shingles of a compared pair share
+a hash with a chance of some n * n / 2^65.
 
-Candidates are verified by the exact Jaccard similarity of all shingles. To avoid all pairs of a band's lines, each
-line is first compared with one of them only, in two rounds with different choices, and found components are joined;
-then the pairs that are still in different components are compared, so no link between components is
-lost. One line of each component stays: its first by document and place.
+A line's distinct hashes are sorted. Band k of a line is made of the ``BAND`` hashes that follow the k-th of ``BANDS``
+even points of the hash space, around its end: MinHashes of one permutation, so a band agrees with about the third
+power of the similarity, and a pair of similarity 0.8 shares one in more than 99 of 100 cases (measured in the tests).
 
-Signatures and verification are array code on Arrow batches; lines, candidates, links and components are joins and
-groupings. A signature takes ``AT_ONCE`` characters of a batch at a time, or one line if that is longer; a
-verified pair needs some 80 bytes for each of its characters.
+Lines that share a band are candidates, verified by the exact Jaccard similarity of all shingles; pairs whose numbers of
+shingles rule it out are left out before. There are no all pairs of a band's lines: in two rounds each line is compared
+with one line of its band and length class only, and found components are joined. Pairs that are
+still in different components are compared directly in bands of ``FEW`` lines or less. In larger ones lines are matched
+through their rarest shingles: at 0.8 two lines must share one of the first ``n - ceil(0.8 n) + 1`` in any
+common order, so rare ones first loses no pair. One line of each component stays: its first by document and place.
 
-Blank lines stay as they are. A null or empty text has no lines that count. Rows that share an id count as one
-document for places; rows without an id come last.
+All of it is DataFrame expressions, joins and groupings; there is no Python on the executors.
+
+Blank lines stay as they are. Rows that share doc_id, place and text are one row of the result with their number as ``copies``, of
+which one stays where the line is kept. Of rows that share doc_id and place only the smaller name comes first. Rows
+without an id come last. A null or empty text has no lines that count; further columns are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,77 +32,35 @@ from tallyroom.llm.common import documents, written
 from tallyroom.llm.components import components
 
 SHINGLE, LIKE = 10, 0.8
-BINS, BAND = 24, 3
+BANDS, BAND = 9, 3
 ROUNDS = 2
-AT_ONCE = 1_000_000
-_FACTOR, _NONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**64 - 1)
+#: Lines of a band that are compared pair by pair.
+FEW = 8
+#: Lines of one class differ in their shingles by a quarter at most.
+CLASS = 1.25
 
 
 def folded(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), "\\s+", " "))
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
-
-
-def _signatures(texts: list[str]) -> np.ndarray:
-    """A row of BINS MinHashes for each text of SHINGLE characters or more."""
-    sizes = np.array([len(t) for t in texts])
-    h = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(h) - SHINGLE + 1
-    power, at = np.uint64(1), np.zeros(n, np.uint64)
-    for j in range(SHINGLE):
-        at += h[j : j + n] * power
-        power *= _FACTOR
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    inside = np.ones(len(h), bool)  # places whose shingle ends in the same text
-    for j in range(1, SHINGLE):
-        inside[starts + sizes - j] = False
-    inside = inside[:n]
-    at = _mixed(at[inside])
-    key = np.repeat(np.arange(len(texts)), sizes - SHINGLE + 1) * BINS + ((at >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-    least = np.full(len(texts) * BINS, _NONE)
-    np.minimum.at(least, key, at)
-    least = least.reshape(-1, BINS)
-    for k in [*range(BINS - 1, -1, -1)] * 2:  # around the end
-        least[:, k] = np.where(least[:, k] == _NONE, least[:, (k + 1) % BINS], least[:, k])
-    return least
-
-
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            ids, texts = batch.column("line").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
-            ends = np.cumsum([len(t) for t in texts])
-            cuts = np.flatnonzero(np.diff(ends // AT_ONCE)) + 1
-            for part in np.split(np.arange(len(texts)), cuts):
-                if not len(part):
-                    continue
-                least = _signatures([texts[k] for k in part])
-                keys = np.zeros((len(part), BINS // BAND), np.uint64)
-                for j in range(BAND):
-                    keys = _mixed(keys * _FACTOR + least[:, j::BAND])
-                keys += np.arange(BINS // BAND, dtype=np.uint64)  # the same values in another band are another key
-                yield pa.record_batch({"band": _mixed(keys).view(np.int64).ravel(), "line": np.repeat(ids[part], BINS // BAND)})
+def shingles(text: Column) -> Column:
+    """Distinct hashes of a text's shingles. The bytes are bound by the outer lambda, so each shingle is cut from them in place."""
+    cut = lambda b: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.shiftright(F.length(b), 2) - SHINGLE)),
+        lambda i: F.xxhash64(F.substr(b, i * 4 + 1, F.lit(4 * SHINGLE))))
+    return F.array_distinct(F.transform(F.array(F.encode(text, "UTF-32")), cut)[0])
 
 
 def bands(lines: DataFrame) -> DataFrame:
-    """``band, line``: keys of the bands of each line. ``lines``: line, text."""
-    return lines.where(F.char_length("text") >= SHINGLE).select("line", "text").mapInArrow(_banded, "band bigint, line bigint")
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = []
-        for x, y in zip(batch.column("x"), batch.column("y")):
-            x, y = x.as_py(), y.as_py()
-            s, t = ({z[k : k + SHINGLE] for k in range(max(1, len(z) - SHINGLE + 1))} for z in (x, y))
-            shared = len(s & t)
-            good.append(shared >= LIKE * (len(s) + len(t) - shared))
-        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    """``band, line, n``: keys of the bands of each line and its number of distinct shingles. ``lines``: line, text."""
+    points = [-(2**63) + k * (2**64 // BANDS) for k in range(1, BANDS)]
+    hashed = lines.where(F.char_length("text") >= SHINGLE).select("line", F.sort_array(shingles(F.col("text"))).alias("h"))
+    marked = hashed.select("line", "h", F.size("h").alias("n"), F.sort_array(F.concat("h", F.array(*map(F.lit, points)))).alias("m"))
+    # Hashes below a point: its place among hashes and points, less itself and the points before.
+    below = [F.lit(0), *[(F.array_position("m", p) - k - 1).cast("int") for k, p in enumerate(points)]]
+    keys = [F.xxhash64(F.lit(k), *[F.get("h", (b + j) % F.col("n")) for j in range(BAND)]) for k, b in enumerate(below)]
+    return marked.select("line", "n", F.explode(F.array(*keys)).alias("band")).select("band", "line", "n")
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -110,62 +68,93 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     text = lines.select("line", "text")
     both = (pairs.join(text.select(F.col("line").alias("a"), F.col("text").alias("x")), "a")
             .join(text.select(F.col("line").alias("b"), F.col("text").alias("y")), "b"))
-    return both.select("a", "b", "x", "y").mapInArrow(_alike, "a bigint, b bigint")
+    sets = both.select("a", "b", shingles(F.col("x")).alias("s"), shingles(F.col("y")).alias("t"))
+    shared = sets.select("a", "b", (F.size("s") + F.size("t")).alias("sizes"), F.size(F.array_intersect("s", "t")).alias("shared"))
+    return shared.where(F.col("shared") >= LIKE * (F.col("sizes") - F.col("shared"))).select("a", "b")
+
+
+def _fits(n: str, m: str) -> Column:
+    return F.least(n, m) >= LIKE * F.greatest(n, m)
+
+
+def _pairs(rows: DataFrame, key: str) -> DataFrame:
+    """Pairs ``a, b`` of rows ``key, line, n, root`` with one key and different roots."""
+    other = rows.select(key, F.col("line").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    return rows.join(other, key).where((F.col("line") < F.col("b")) & (F.col("root") != F.col("other")) & _fits("n", "m")).select(
+        F.col("line").alias("a"), "b").distinct()
+
+
+def _open(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key has several roots, with the number of its rows."""
+    spread = rows.groupBy(key).agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size"))
+    return rows.join(spread.where("least <> most").select(key, "size"), key)
+
+
+def rarest(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``token, line, n, root``: the rarest shingles of each line by which it must meet any line like it. ``rows``: line, n, root."""
+    each = lines.join(rows, "line").select("line", "n", "root", F.explode(shingles(F.col("text"))).alias("token"))
+    each = written(each, "tokens")
+    often = each.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    # A line's shingles that no other line has come first in the order and take their places.
+    listed = each.join(often, "token").groupBy("line", "n", "root").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("l"))
+    places = F.col("n") - F.ceil(LIKE * F.col("n")).cast("int") + 1 - (F.col("n") - F.size("l"))
+    return listed.select("line", "n", "root", F.explode(F.slice("l", F.lit(1), F.greatest(F.lit(0), places))).alias("t")).select(
+        F.col("t.token").alias("token"), "line", "n", "root")
 
 
 def like_lines(lines: DataFrame) -> DataFrame:
     """``line, root`` for lines that are like another. ``lines``: distinct ``text`` with its id ``line``."""
     found = written(bands(lines), "bands")
-    shared = found.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    found = written(found.join(shared, "band").select("band", "line"), "bands")
+    shared = found.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
+    kind = F.floor(F.log("n") / F.log(F.lit(CLASS)) + F.lit(1e-9)).cast("int").alias("kind")
+    found = written(found.join(shared, "band").select("band", "line", "n", kind), "bands")
     lines = written(lines.select("line", "text").join(found.select("line").distinct(), "line", "left_semi"), "candidates")
-    links, roots, tried = None, None, None
-    for turn in range(ROUNDS + 1):
-        rows = found.withColumn("root", F.col("line")) if roots is None else found.join(
-            roots.select(F.col("node").alias("line"), "root"), "line", "left").select("band", "line", F.coalesce("root", "line").alias("root"))
-        if roots is not None:  # bands of one component are settled
-            open_ = rows.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
-            rows = rows.join(open_, "band")
-        if turn < ROUNDS:
-            center = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("line", F.lit(turn)).alias("h"), "line", "root")).alias("c"))
-            pairs = rows.join(center, "band").where(F.col("root") != F.col("c.root")).select(
-                F.least("line", "c.line").alias("a"), F.greatest("line", "c.line").alias("b"))
-        else:
-            other = rows.select("band", F.col("line").alias("b"), F.col("root").alias("other"))
-            pairs = rows.join(other, (rows["band"] == other["band"]) & (F.col("line") < F.col("b")) & (F.col("root") != F.col("other"))).select(
-                F.col("line").alias("a"), "b")
-        pairs = pairs.distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        new = written(verified(pairs, lines), "links")
+    links, roots, rows = None, None, found.withColumn("root", F.col("line"))
+    for turn in range(ROUNDS):
+        center = rows.groupBy("band", "kind").agg(
+            F.min(F.struct(F.xxhash64("line", F.lit(turn)).alias("h"), "line", "root")).alias("c"), F.count("*").alias("c_rows")).where("c_rows > 1")
+        pairs = rows.join(center, ["band", "kind"]).where(F.col("root") != F.col("c.root")).select(
+            F.least("line", "c.line").alias("a"), F.greatest("line", "c.line").alias("b")).distinct()
+        new = written(verified(written(pairs, "pairs"), lines), "links")
         links = new if links is None else links.unionAll(new)
         roots = components(links)
+        rows = written(_open(found.join(roots.select(F.col("node").alias("line"), "root"), "line", "left").select(
+            "band", "line", "n", "kind", F.coalesce("root", "line").alias("root")), "band"), "open")
+    few = _pairs(rows.where(F.col("size") <= FEW).drop("size"), "band")
+    crowd = rows.where(F.col("size") > FEW).select("line", "n", "root").distinct()
+    tokens = _open(written(rarest(crowd, lines), "rarest"), "token").drop("size")
+    last = written(few.unionAll(_pairs(tokens, "token")).distinct(), "pairs")
+    roots = components(links.unionAll(written(verified(last, lines), "links")))
     return roots.select(F.col("node").alias("line"), "root")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """A row for each line that counts: doc_id, place, line (its text's id), root, kept."""
+    """A row for each line that counts: doc_id, place, copies, name (its folded text's MD5), root (of the lines it is like), kept."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("place", "raw"))
-    folded_ = each.select("doc_id", "place", folded(F.col("raw")).alias("text")).where("text <> ''")
-    # 64 bits of the text name it; the first occurrence is by document and place.
+    each = each.select("doc_id", "place", folded(F.col("raw")).alias("text")).where("text <> ''")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first")
-    lines = written(folded_.groupBy(F.xxhash64("text").alias("line"), "text").agg(first), "lines")
+    lines = written(each.groupBy("text").agg(first).select(
+        F.monotonically_increasing_id().alias("line"), F.unhex(F.md5("text")).alias("name"), "text", "first"), "lines")
     roots = written(like_lines(lines), "roots")
-    named = lines.select("line", "first").join(roots, "line", "left").select("line", "first", F.coalesce("root", "line").alias("root"))
-    firsts = named.groupBy("root").agg(F.min("first").alias("first"))
-    places = folded_.select("doc_id", "place", F.xxhash64("text").alias("line"))
-    kept = named.select("line", "root").join(firsts, "root")
-    return places.join(kept, "line").select(
-        "doc_id", "place", "line", "root",
-        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))).alias("kept"))
+    named = lines.select("line", "name", "first").join(roots, "line", "left").select("name", "first", F.coalesce("root", "line").alias("root"))
+    firsts = named.groupBy("root").agg(F.min(F.struct("first", "name")).alias("best"))
+    kept = named.join(firsts, "root").select("name", "root", "best")
+    places = each.groupBy("doc_id", "place", F.unhex(F.md5("text")).alias("name")).agg(F.count("*").alias("copies"))
+    return places.join(kept, "name").select(
+        "doc_id", "place", "copies", "name", "root",
+        (F.col("doc_id").eqNullSafe(F.col("best.first.doc_id")) & (F.col("place") == F.col("best.first.place")) & (F.col("name") == F.col("best.name"))).alias("kept"))
 
 
 def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document that has a line: its lines, how many stay and a checksum of the places that stay."""
-    return deduplicated(documents(spark, sf_dir)).groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), F.count(F.when(F.col("kept"), 1)).alias("n_kept"),
-        F.sum(F.when(F.col("kept"), F.col("place") + 1).otherwise(0)).cast("long").alias("kept_places"))
+    """One row per document id: its lines, how many stay, and a checksum of the places and texts that stay; zeros without lines."""
+    docs = documents(spark, sf_dir)
+    counted = deduplicated(docs).select("doc_id", "copies", F.col("kept").cast("long").alias("one"), F.when(
+        F.col("kept"), F.xxhash64("place", "name")).alias("digest"), F.when(F.col("kept"), F.col("place") + 1).alias("at"))
+    bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("int"))
+    return counted.unionAll(bare).groupBy("doc_id").agg(
+        F.sum("copies").alias("n_lines"), F.sum("one").alias("n_kept"), F.coalesce(F.sum("at"), F.lit(0)).cast("long").alias("kept_places"),
+        F.coalesce(F.bit_xor("digest"), F.lit(0)).cast("long").alias("kept_digest"))
 
 
 QUERIES = {"op6_fuzzy_line_dedup": op6_fuzzy_line_dedup}

@@ -5,7 +5,9 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyroom.llm import grace, lines, simhash
 from tallyroom.llm.components import components
@@ -154,3 +156,51 @@ def test_fuzzy_lines(spark, make, none):
     have = Counter((r.doc_id is None, r.doc_id or 0, r.place) for r in got)
     assert sum((want - have).values()) + sum((have - want).values()) <= 0.02 * sum(want.values())  # high recall, exact otherwise
     assert lines.deduplicated(none).count() == 0
+
+
+def shingle_set(t):
+    return {t[k : k + 10] for k in range(max(1, len(t) - 9))}
+
+
+@pytest.mark.parametrize("low, high", [(14, 30), (31, 80), (81, 400)])
+def test_pairs_of_alike_lines_share_a_band(spark, low, high):
+    rng = random.Random(low)
+    rows, n = [], 0
+    while n < 400:  # ends cut off, least similarity first
+        whole = "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(low, high)))
+        part = whole[: -max(1, int((len(whole) - 9) * rng.uniform(0.1, 0.2)))]
+        s, t = shingle_set(whole), shingle_set(part)
+        if len(part) >= 10 and 0.8 <= len(s & t) / len(s | t) <= 0.9:
+            rows += [(2 * n, whole), (2 * n + 1, part)]
+            n += 1
+    found = lines.bands(spark.createDataFrame(rows, "line long, text string"))
+    met = found.selectExpr("band", "line div 2 as pair").groupBy("band", "pair").count().where("count > 1").select("pair").distinct().count()
+    assert met >= 0.99 * n
+
+
+def test_crowded_bands_lose_no_pair(spark, make):
+    rng = random.Random(4)
+    stem = "".join(rng.choice("abcdefghijklmnop") for _ in range(120))
+    tails = ["".join(rng.choice("qrstuvwxyz") for _ in range(90)) for _ in range(60)]
+    texts = [stem + t for t in tails] + [stem + t[:-6] for t in tails[::2]]  # alike in the stem only, but for each second one's cut copy
+    ids = spark.createDataFrame(list(enumerate(texts)), "line long, text string")
+    tokens = lines.rarest(ids.select("line", F.size(lines.shingles(F.col("text"))).alias("n"), F.col("line").alias("root")), ids)
+    met = {(r.a, r.b) for r in lines._pairs(tokens, "token").collect()}
+    sets = [shingle_set(t) for t in texts]
+    alike = {(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert alike <= met and len(met) < 3 * len(alike)  # of 4005 pairs
+    assert {(r.a, r.b) for r in lines.verified(spark.createDataFrame(sorted(met), "a long, b long"), ids).collect()} == alike
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = lines.deduplicated(make(rows)).where("kept").collect()
+    assert Counter((False, r.doc_id, r.place) for r in got) == brute_lines(rows)
+
+
+def test_repeated_rows_and_documents_without_lines(spark, make, tmp_path):
+    rows = [(1, "the same long line", "en", "s")] * 3 + [(2, "The same  long line\nanother one, quite other", "en", "s"), (3, None, "en", "s"), (4, " ", "en", "s")]
+    rows += [(None, "x", "en", "s"), (None, "x", "en", "s"), (5, "other text one", "en", "s"), (5, "second text, other", "en", "s"), (6, "😀é日本 " * 9, "ja", "s")]
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_lines, r.n_kept) for r in lines.op6_fuzzy_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 1), 2: (2, 1), 3: (0, 0), 4: (0, 0), None: (2, 1), 5: (2, 2), 6: (1, 1)}
+    long = "".join(random.Random(1).choice("abcdefghij ") for _ in range(200_000))
+    kept = lines.deduplicated(make([(1, long, "en", "s"), (2, long[:-9000], "en", "s")])).where("kept").collect()
+    assert [r.doc_id for r in kept] == [1]
