@@ -9,8 +9,7 @@ A line's distinct hashes are sorted. Band k of a line is made of the ``BAND`` ha
 even points of the hash space, around its end: MinHashes of one permutation, so a band agrees with about the third
 power of the similarity, and a pair of similarity 0.8 shares one in more than 99 of 100 cases (measured in the tests).
 
-Lines that share a band are candidates, verified by the exact Jaccard similarity of all shingles; pairs whose numbers of
-shingles rule it out are left out before. There are no all pairs of a band's lines: in two rounds each line is compared
+Lines that share a band are candidates, verified by the exact Jaccard similarity of all shingles. There are no all pairs of a band's lines: in two rounds each line is compared
 with one line of its band and length class only, and found components are joined. Pairs that are
 still in different components are compared directly in bands of ``FEW`` lines or less. In larger ones lines are matched
 through their rarest shingles: at 0.8 two lines must share one of the first ``n - ceil(0.8 n) + 1`` in any
@@ -25,6 +24,8 @@ without an id come last. A null or empty text has no lines that count; further c
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,26 +42,43 @@ CLASS = 1.25
 
 
 def folded(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), "\\s+", " "))
+    low = F.lower(line)
+    other = F.greatest(*[F.contains(low, F.lit(c)) for c in ("  ", "\t", "\n", "\x0b", "\f", "\r")])  # than single spaces
+    return F.trim(F.when(other, F.regexp_replace(low, "\\s+", " ")).otherwise(low))
 
 
-def shingles(text: Column) -> Column:
-    """Distinct hashes of a text's shingles. The bytes are bound by the outer lambda, so each shingle is cut from them in place."""
+def hashes(text: Column) -> Column:
+    """Hashes of a text's shingles, repeats included. The bytes are bound by the outer lambda, so each shingle is cut from them in place."""
     cut = lambda b: F.transform(
         F.sequence(F.lit(0), F.greatest(F.lit(0), F.shiftright(F.length(b), 2) - SHINGLE)),
         lambda i: F.xxhash64(F.substr(b, i * 4 + 1, F.lit(4 * SHINGLE))))
-    return F.array_distinct(F.transform(F.array(F.encode(text, "UTF-32")), cut)[0])
+    return F.transform(F.array(F.encode(text, "UTF-32")), cut)[0]
 
 
-def bands(lines: DataFrame) -> DataFrame:
-    """``band, line, n``: keys of the bands of each line and its number of distinct shingles. ``lines``: line, text."""
+def shingles(text: Column) -> Column:
+    return F.array_distinct(hashes(text))
+
+
+def _banded(lines: DataFrame) -> DataFrame:
+    """``line, h`` with ``n``, the number of sorted hashes, and ``t0``, ``t1``, …: the hashes that follow each point.
+
+    The steps are projections of their own, so each is compiled to code small enough for the JIT.
+    """
     points = [-(2**63) + k * (2**64 // BANDS) for k in range(1, BANDS)]
-    hashed = lines.where(F.char_length("text") >= SHINGLE).select("line", F.sort_array(shingles(F.col("text"))).alias("h"))
-    marked = hashed.select("line", "h", F.size("h").alias("n"), F.sort_array(F.concat("h", F.array(*map(F.lit, points)))).alias("m"))
-    # Hashes below a point: its place among hashes and points, less itself and the points before.
-    below = [F.lit(0), *[(F.array_position("m", p) - k - 1).cast("int") for k, p in enumerate(points)]]
-    keys = [F.xxhash64(F.lit(k), *[F.get("h", (b + j) % F.col("n")) for j in range(BAND)]) for k, b in enumerate(below)]
-    return marked.select("line", "n", F.explode(F.array(*keys)).alias("band")).select("band", "line", "n")
+    marked = lines.select("line", "h", F.sort_array(F.concat("h", F.array(*map(F.lit, points)))).alias("m"))
+    # A point's place among hashes and points, less itself and the points before, is how many hashes are below.
+    below = [F.lit(1), *[(F.array_position("m", p) - k).cast("int") for k, p in enumerate(points)]]
+    ring = F.concat("h", F.slice("h", 1, BAND)).alias("ring")
+    placed = marked.select("line", "h", ring, *[b.alias(f"p{k}") for k, b in enumerate(below)])
+    return placed.select("line", "h", F.size("h").alias("n"), *[F.slice("ring", F.col(f"p{k}"), F.lit(BAND)).alias(f"t{k}") for k in range(BANDS)])
+
+
+def bands(lines: DataFrame) -> DataFrame:
+    """``band, line, n``: keys of the bands of each line and the number of its distinct shingles. ``lines``: line, text."""
+    rows = _banded(lines.where(F.char_length("text") >= SHINGLE).select("line", F.sort_array(shingles(F.col("text"))).alias("h")))
+    keyed = rows.select("line", "n", F.array(*[F.xxhash64(F.lit(k), f"t{k}") for k in range(BANDS)]).alias("k"))
+    # For an inner explode Spark would filter by the array's size below, and compute all of it twice.
+    return keyed.select("line", "n", F.explode_outer("k").alias("band")).select("band", "line", "n")
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -73,14 +91,11 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return shared.where(F.col("shared") >= LIKE * (F.col("sizes") - F.col("shared"))).select("a", "b")
 
 
-def _fits(n: str, m: str) -> Column:
-    return F.least(n, m) >= LIKE * F.greatest(n, m)
-
-
 def _pairs(rows: DataFrame, key: str) -> DataFrame:
-    """Pairs ``a, b`` of rows ``key, line, n, root`` with one key and different roots."""
+    """Pairs ``a, b`` of rows ``key, line, n, root`` with one key, different roots and numbers of shingles that do not rule them out."""
     other = rows.select(key, F.col("line").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    return rows.join(other, key).where((F.col("line") < F.col("b")) & (F.col("root") != F.col("other")) & _fits("n", "m")).select(
+    fits = F.least("n", "m") >= LIKE * F.greatest("n", "m")
+    return rows.join(other, key).where((F.col("line") < F.col("b")) & (F.col("root") != F.col("other")) & fits).select(
         F.col("line").alias("a"), "b").distinct()
 
 
@@ -91,8 +106,9 @@ def _open(rows: DataFrame, key: str) -> DataFrame:
 
 
 def rarest(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """``token, line, n, root``: the rarest shingles of each line by which it must meet any line like it. ``rows``: line, n, root."""
-    each = lines.join(rows, "line").select("line", "n", "root", F.explode(shingles(F.col("text"))).alias("token"))
+    """``token, line, n, root``: the rarest shingles of each line by which it must meet any line like it. ``rows``: line, root."""
+    sets = lines.join(rows, "line").select("line", "root", shingles(F.col("text")).alias("s"))
+    each = sets.select("line", F.size("s").alias("n"), "root", F.explode_outer("s").alias("token"))
     each = written(each, "tokens")
     often = each.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     # A line's shingles that no other line has come first in the order and take their places.
@@ -120,8 +136,8 @@ def like_lines(lines: DataFrame) -> DataFrame:
         roots = components(links)
         rows = written(_open(found.join(roots.select(F.col("node").alias("line"), "root"), "line", "left").select(
             "band", "line", "n", "kind", F.coalesce("root", "line").alias("root")), "band"), "open")
-    few = _pairs(rows.where(F.col("size") <= FEW).drop("size"), "band")
-    crowd = rows.where(F.col("size") > FEW).select("line", "n", "root").distinct()
+    few = _pairs(rows.where(F.col("size") <= FEW).select("band", "line", F.lit(1).alias("n"), "root"), "band")
+    crowd = rows.where(F.col("size") > FEW).select("line", "root").distinct()
     tokens = _open(written(rarest(crowd, lines), "rarest"), "token").drop("size")
     last = written(few.unionAll(_pairs(tokens, "token")).distinct(), "pairs")
     roots = components(links.unionAll(written(verified(last, lines), "links")))
@@ -131,19 +147,20 @@ def like_lines(lines: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """A row for each line that counts: doc_id, place, copies, name (its folded text's MD5), root (of the lines it is like), kept."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("place", "raw"))
-    each = each.select("doc_id", "place", folded(F.col("raw")).alias("text")).where("text <> ''")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first")
-    lines = written(each.groupBy("text").agg(first).select(
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(F.split(text, "\n")).alias("place", "raw"))
+    # Document and place as one number, which hash aggregation can hold; no id is the last.
+    at = (F.coalesce(F.col("doc_id").cast("decimal(19,0)"), F.lit(Decimal(2**63))) * F.lit(Decimal(2**31)) + F.col("place")).cast("decimal(38,0)")
+    each = each.select("doc_id", "place", at.alias("at"), folded(F.col("raw")).alias("text")).where("text <> ''")
+    lines = written(each.groupBy("text").agg(F.min("at").alias("first")).select(
         F.monotonically_increasing_id().alias("line"), F.unhex(F.md5("text")).alias("name"), "text", "first"), "lines")
     roots = written(like_lines(lines), "roots")
     named = lines.select("line", "name", "first").join(roots, "line", "left").select("name", "first", F.coalesce("root", "line").alias("root"))
     firsts = named.groupBy("root").agg(F.min(F.struct("first", "name")).alias("best"))
     kept = named.join(firsts, "root").select("name", "root", "best")
-    places = each.groupBy("doc_id", "place", F.unhex(F.md5("text")).alias("name")).agg(F.count("*").alias("copies"))
+    places = each.groupBy("doc_id", "place", "at", F.unhex(F.md5("text")).alias("name")).agg(F.count("*").alias("copies"))
     return places.join(kept, "name").select(
         "doc_id", "place", "copies", "name", "root",
-        (F.col("doc_id").eqNullSafe(F.col("best.first.doc_id")) & (F.col("place") == F.col("best.first.place")) & (F.col("name") == F.col("best.name"))).alias("kept"))
+        ((F.col("at") == F.col("best.first")) & (F.col("name") == F.col("best.name"))).alias("kept"))
 
 
 def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
