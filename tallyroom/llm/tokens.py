@@ -5,7 +5,8 @@ characters that are no white space, whatever surrounds it. So a text is cut ther
 every distinct chunk is encoded once and then known by its bytes. A text with
 other white space patterns is encoded whole. Inside a chunk of plain letters, digits, marks
 and single newlines the pieces are plain to see, and the library's model encodes each new
-one; any other chunk goes through the library's own splitting. All ways give its ids.
+one; any other chunk goes through the library's own splitting, and a text that holds an added token is
+encoded whole. All ways give its ids.
 """
 
 from __future__ import annotations
@@ -69,8 +70,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known, self.pieces = Known(self._chunk, known), Known(self._piece, known)
 
     def whole(self, text: bytes) -> np.ndarray:
@@ -111,7 +112,12 @@ class Encoder:
         ends = np.concatenate([[0], took.cumsum()])
         ids = pool[np.repeat(begins[which] - ends[:-1], took) + np.arange(ends[-1])]
         ends = ends[cuts]
-        odd = np.flatnonzero(np.add.reduceat(np.append(unclear[which], False), cuts[:-1]) * (np.diff(cuts) > 0)) if unclear.any() else []
+        strange = np.zeros(len(texts), bool)
+        for content in self.added:  # the library takes an added token out of a text before it splits it
+            strange |= pc.match_substring(texts, content).fill_null(False).to_numpy(zero_copy_only=False)
+        if unclear.any():
+            strange |= (np.add.reduceat(np.append(unclear[which], False), cuts[:-1]) * (np.diff(cuts) > 0)).astype(bool)
+        odd = np.flatnonzero(strange)
         if len(odd):
             each = [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
             for k in odd:

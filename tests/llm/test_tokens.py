@@ -16,7 +16,6 @@ from tallyroom.workspace import new_folder
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(vocabulary_path())
-    tokenizer.encode_special_tokens = True
     return lambda texts: [np.array(e.ids, "<u4") for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -32,6 +31,13 @@ def test_ids_are_the_librarys(coder, library, texts):
     assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [x.tolist() for x in library(texts)]
 
 
+def test_added_tokens_are_the_librarys(coder, library):
+    texts = ["end <|endoftext|> of", "<|endoftext|>", "a<|endoftext|><|endoftext|>\nb c", "no <|endoftext |> here", "", "plain text"]
+    ids, ends = coder.encode(pa.array([*[t.encode() for t in texts], None], pa.binary()))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [x.tolist() for x in library(texts)] + [[]]
+    assert 50256 in ids[: ends[1]]
+
+
 def wanted(rows, library):
     out = defaultdict(list)
     for (i, *_), ids in zip(rows, library([t or "" for _, t, *_ in rows])):
