@@ -9,11 +9,12 @@ A line's distinct hashes are sorted. Band k of a line is made of the ``BAND`` ha
 even points of the hash space, around its end: MinHashes of one permutation, so a band agrees with about the third
 power of the similarity, and a pair of similarity 0.8 shares one in more than 99 of 100 cases (measured in the tests).
 
-Lines that share a band are candidates, verified by the exact Jaccard similarity of all shingles. There are no all pairs of a band's lines: in two rounds each line is compared
-with one line of its band and length class only, and found components are joined. Pairs that are
-still in different components are compared directly in bands of ``FEW`` lines or less. In larger ones lines are matched
-through their rarest shingles: at 0.8 two lines must share one of the first ``n - ceil(0.8 n) + 1`` in any
-common order, so rare ones first loses no pair. One line of each component stays: its first by document and place.
+Lines that share a band are candidates, verified by the exact Jaccard similarity of all shingles. In two rounds each line is
+compared with one line of its band and length class only, and found components are joined. Pairs that are still in
+different components are compared directly in bands of ``FEW`` lines or less. In larger ones lines are matched through
+their rarest shingles: at 0.8 two lines must share one of the first ``n - ceil(0.8 n) + 1`` in any common order, so
+rare ones first loses no pair. Where many unlike lines share even a rarest shingle, all their pairs are verified.
+One line of each component stays: its first by document and place.
 
 All of it is DataFrame expressions, joins and groupings; there is no Python on the executors.
 
