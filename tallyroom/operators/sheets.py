@@ -28,11 +28,14 @@ def with_values(cells: DataFrame) -> DataFrame:
 
 
 def sheet_rows(cells: DataFrame) -> DataFrame:
-    """Every index from the first to the last row of the first sheet; gaps are absent rows."""
+    """Every index from the first to the last row of the first sheet; gaps are absent rows.
+
+    Rows of sheets meet by sorting: what cells unfold to is not in Spark's estimate, by which it would broadcast them.
+    """
     present = first_sheet(cells).groupBy("workbook_id", "row_idx").agg(F.count("*").alias("n_cells"))
     extent = present.groupBy("workbook_id").agg(F.min("row_idx").alias("lo"), F.max("row_idx").alias("hi"))
     every = extent.select("workbook_id", F.explode(F.sequence("lo", "hi")).alias("row_idx"))
-    return every.join(present, ["workbook_id", "row_idx"], "left")
+    return every.join(present.hint("merge"), ["workbook_id", "row_idx"], "left")
 
 
 def cell_at(cells: DataFrame, col: int) -> DataFrame:
@@ -78,7 +81,7 @@ def row_facts(cells: DataFrame) -> DataFrame:
 def row_all_blank(cells: DataFrame) -> DataFrame:
     """Rows of the first sheet with whether they exist and are blank; absent rows are not blank."""
     facts = row_facts(cells).select("workbook_id", "row_idx", "all_blank")
-    return sheet_rows(cells).join(facts, ["workbook_id", "row_idx"], "left").select(
+    return sheet_rows(cells).join(facts.hint("merge"), ["workbook_id", "row_idx"], "left").select(
         "workbook_id", "row_idx", F.coalesce("all_blank", F.lit(False)).alias("all_blank"))
 
 

@@ -33,6 +33,13 @@ def test_nothing_is_crossed_or_gathered(spark, name):
         assert bad not in plan, bad
 
 
+@pytest.mark.parametrize("name", ["row_all_blank"])
+def test_rows_of_sheets_are_not_gathered_for_a_broadcast(spark, name):
+    """What the cells unfold to is not in Spark's estimate."""
+    plan = plan_of(spark, name).split("== Physical Plan ==")[1]
+    assert "BroadcastHashJoin [workbook_id" not in plan and "SortMergeJoin [workbook_id" in plan
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = plan_of(spark, "scan_filter_eq")
     assert "EqualTo(p_brand,Brand#7)" in plan and "p_retailprice" not in plan.split("== Physical Plan ==")[1]
