@@ -118,7 +118,7 @@ def drop_leading(rows: DataFrame) -> DataFrame:
     """Rows of each question from the first one with a non-blank second cell."""
     first = F.min(F.when(F.col("c1") != "", F.col("row_idx")))
     heads = rows.groupBy("workbook_id", "q_seq").agg(first.alias("_from"))
-    return rows.join(heads, ["workbook_id", "q_seq"]).where(F.col("row_idx") >= F.col("_from")).drop("_from")
+    return rows.join(heads.hint("merge"), ["workbook_id", "q_seq"]).where(F.col("row_idx") >= F.col("_from")).drop("_from")
 
 
 def question_type(rows: DataFrame) -> DataFrame:
