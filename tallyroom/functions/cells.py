@@ -36,8 +36,8 @@ def cell_string(kind: Column, text: Column, num: Column, flag: Column) -> Column
 
 
 def json_quote(text: Column) -> Column:
-    quoted = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), F.substr(quoted, F.lit(2), F.length(quoted) - 2))
+    # A literal begins and ends with a quote, so what is trimmed are the array's brackets.
+    return F.when(text.isNotNull(), F.btrim(F.to_json(F.array(text)), F.lit("[]")))
 
 
 def json_unquote(literal: Column) -> Column:

@@ -19,6 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
+from tallyroom.operators.lookup import lookup
+from tallyroom.workspace import stage
+
 _BUCKET = "_bucket"
 
 
@@ -32,6 +35,7 @@ def running(
     previous: dict[str, Column] | None = None,
     partitioned: bool = False,
     once: bool = False,
+    written: bool = False,
 ) -> DataFrame:
     """Add running sums and minima up to and with each row, and values of the row before.
 
@@ -39,7 +43,8 @@ def running(
     The rows are spread by key and bucket explicitly, since a coarser partitioning left by
     an earlier join on the keys would satisfy the window too and keep a hot key whole;
     Without ``bucket`` the rows carry the ranges of ``with_ranges``. ``partitioned`` says that they already are spread so. ``once`` is for callers that use all
-    columns of the result.
+    columns of the result. ``written`` has rows and their windows written first, so that a costly input is evaluated once and the
+    summaries, which are read from the few columns they need, are measured; it runs jobs while the query is built.
     """
     sums, mins, previous = sums or {}, mins or {}, previous or {}
     cut = df if bucket is None else df.withColumn(_BUCKET, bucket)
@@ -53,10 +58,12 @@ def running(
         *[F.min(e).over(upto).alias(f"_l_{n}") for n, e in mins.items()],
         *[F.lag(F.struct(e.alias("v"))).over(inside).alias(f"_l_{n}") for n, e in previous.items()],
     )
+    if written:
+        local, once = stage(local), False
     # A summary that mentions every column needs the same shuffle as the rows, which Spark then runs once.
     every = [F.size(c) if isinstance(cut.schema[c].dataType, MapType) else F.col(f"`{c}`") for c in cut.columns]
     mention = [F.max(F.xxhash64(*every)).alias("_every")] if once else [F.lit(0).alias("_every")]
-    summary = (spread if once else cut).groupBy(*keys, _BUCKET).agg(
+    summary = (local if written else spread if once else cut).groupBy(*keys, _BUCKET).agg(
         *mention,
         *[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()],
         *[F.min(e).alias(f"_s_{n}") for n, e in mins.items()],
@@ -65,14 +72,16 @@ def running(
     earlier = (
         Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     )
+    # The first range of a key has nothing before it, so keys of one range have no row here.
     carried = summary.where("_every is not null").select(
         *keys,
         _BUCKET,
+        F.count("*").over(earlier).alias("_ranges"),
         *[F.sum(f"_s_{n}").over(earlier).alias(f"_c_{n}") for n in sums],
         *[F.min(f"_s_{n}").over(earlier).alias(f"_c_{n}") for n in mins],
         *[F.last(f"_s_{n}").over(earlier).alias(f"_c_{n}") for n in previous],
-    )
-    joined = local.join(carried, [*keys, _BUCKET], "left")
+    ).where("_ranges > 0").drop("_ranges")
+    joined = lookup(local, carried, [*keys, _BUCKET]) if written else local.join(carried, [*keys, _BUCKET], "left")
     return joined.select(
         *[c for c in df.columns if c != _BUCKET],
         *[

@@ -1,7 +1,8 @@
 """Rows of questions to question documents with their errors.
 
 Everything is keyed by ``(workbook_id, q_seq)`` or finer. Ordered steps use ``running``, the
-rest are aggregates and equi-joins; only documents themselves are collected, each bounded
+rest are aggregates and equi-joins, sorted where a side grows with the rows, since written tables are estimated
+by their packed size, by which Spark would broadcast millions of rows; only documents themselves are collected, each bounded
 by the rows of one sheet.
 """
 
@@ -16,6 +17,7 @@ from tallyroom.functions import cells as fn
 from tallyroom.operators import registry, sheets
 from tallyroom.operators.dictionary import columns_table, types_table
 from tallyroom.operators.ordered import running
+from tallyroom.workspace import stage
 
 Q = ["workbook_id", "q_seq"]
 TABLE = [*Q, "title_row"]
@@ -34,7 +36,7 @@ def match_fields(rows: DataFrame, heads: DataFrame, types: DataFrame | None = No
     """
     types = types_table(rows.sparkSession) if types is None else types
     sound = heads.where(F.col("fatal").isNull()).select(*Q, "qid", "qtype", "type_row")
-    content = rows.join(sound, Q).where(F.col("row_idx") > F.col("type_row"))
+    content = rows.join(sound.hint("merge"), Q).where(F.col("row_idx") > F.col("type_row"))
     matched = content.join(F.broadcast(types), "qtype").withColumn("_m", first_match(F.col("c1"), F.col("rules")))
     target = F.coalesce("_m.target", F.when(F.col("_m.field") == "js", F.substr("c1", F.lit(4))))
     return matched.select(
@@ -45,14 +47,16 @@ def place_rows(matched: DataFrame) -> DataFrame:
     """Add ``status``: field, body, skipped or unmatched.
 
     A table runs from its title to the last row of the island of labelled rows, whatever
-    the rows in between look like; the title is the island's first row that a table takes.
+    the rows in between look like; the title is the island's first row that a table takes. Titles
+    are few and found on the map side; the rows are read twice, so callers write them first.
     """
     run = F.coalesce("island", -F.col("row_idx") - 10)
-    title = F.when(~F.col("skipped") & (F.col("kind") == "table"), F.struct("row_idx", "field"))
-    placed = running(matched.withColumn("run", run), [*Q, "run"], ["row_idx"], sheets.row_bucket(), mins={"_title": title})
-    in_body = F.coalesce(F.col("_title.row_idx") < F.col("row_idx"), F.lit(False))
+    rows = matched.withColumn("run", run)
+    titles = rows.where(~F.col("skipped") & (F.col("kind") == "table")).groupBy(*Q, "run").agg(F.min("row_idx").alias("_title"))
+    placed = rows.join(titles.hint("merge"), [*Q, "run"], "left")
+    in_body = F.coalesce(F.col("_title") < F.col("row_idx"), F.lit(False))
     return placed.select(
-        *matched.columns, "run", F.col("_title.row_idx").alias("title_row"),
+        *matched.columns, "run", F.when(F.col("_title") <= F.col("row_idx"), F.col("_title")).alias("title_row"),
         F.when(in_body, F.lit("body")).when(F.col("skipped"), F.lit("skipped"))
         .when(F.col("field").isNull(), F.lit("unmatched")).otherwise(F.lit("field")).alias("status"))
 
@@ -66,7 +70,8 @@ def table_extent(placed: DataFrame) -> DataFrame:
 def mark_duplicates(placed: DataFrame) -> DataFrame:
     """Field rows with the first row on which the question already used the field."""
     fields = placed.where(F.col("status") == "field")
-    return running(fields, [*Q, "field"], ["row_idx"], sheets.row_bucket(), mins={"first_row": F.col("row_idx")})
+    first = fields.groupBy(*Q, "field").agg(F.min("row_idx").alias("first_row"))
+    return fields.join(first.hint("merge"), [*Q, "field"]).select(*fields.columns, "first_row")
 
 
 def duplicate_field(placed: DataFrame, marked: DataFrame) -> DataFrame:
@@ -139,9 +144,10 @@ def tables_of(placed: DataFrame, marked: DataFrame) -> DataFrame:
     """Tables to apply, with their matched columns; ``columns`` is null for an empty table."""
     titles = marked.where((F.col("kind") == "table") & (F.col("first_row") == F.col("row_idx"))).select(
         *Q, "title_row", "qid", "qtype", "field", F.col("target").alias("prop"), fn.row_text(F.col("cells")).alias("title_text"))
-    head = placed.where((F.col("status") == "body") & (F.col("row_idx") == F.col("title_row") + 1)).select(*TABLE, "cells")
-    matched = match_columns(titles.join(head, TABLE))
-    empty = titles.join(head, TABLE, "left_anti").withColumn("columns", F.lit(None).cast(matched.schema["columns"].dataType))
+    head = placed.where((F.col("status") == "body") & (F.col("row_idx") == F.col("title_row") + 1)).select(*TABLE, "cells", F.lit(True).alias("_head"))
+    headed = stage(titles.join(head.hint("merge"), TABLE, "left"))
+    matched = match_columns(headed.where("_head").drop("_head"))
+    empty = headed.where("_head is null").drop("cells", "_head").withColumn("columns", F.lit(None).cast(matched.schema["columns"].dataType))
     return matched.select(*empty.columns).unionByName(empty)
 
 
@@ -331,7 +337,7 @@ def post_process(rows: DataFrame, built: DataFrame, processors: dict | None = No
 
 def table_entries(rows: DataFrame, tables: DataFrame) -> DataFrame:
     """Properties that tables add to their questions, post-processing included."""
-    built = build_rows(rows, tables)
+    built = stage(build_rows(rows, tables))
     plain = _entries(built.where(~F.col("field").isin(*REPLACED)), 0, F.col("prop"), F.col("items"))
     shuffle = _entries(shuffle_summary(rows).where(F.col("shuffleItems").isNotNull()), 1, F.lit("shuffleItems"), F.col("shuffleItems"))
     return plain.unionByName(shuffle).unionByName(post_process(rows, built))

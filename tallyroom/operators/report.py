@@ -50,12 +50,12 @@ def line_breaks(text: Column, extra: int = 0) -> Column:
 def convert(cells: DataFrame) -> DataFrame:
     """Questions of all workbooks: ``(workbook_id, q_seq, qid, qtype, doc, code, fatal, errors, warnings)``.
 
-    Rows and placed rows are each read by several branches, so they are written once.
+    What several branches read is written once.
     """
-    rows = stage(sheets.split_questions(sheets.row_facts(cells)))
-    heads = sheets.known_type(sheets.question_type(rows)).drop("rules")
-    placed = stage(qs.place_rows(qs.match_fields(rows, heads)))
-    marked = qs.mark_duplicates(placed)
+    rows = sheets.split_questions(sheets.row_facts(cells), written=True)
+    heads = stage(sheets.known_type(sheets.question_type(rows)).drop("rules"))
+    placed = stage(qs.place_rows(stage(qs.match_fields(rows, heads))))
+    marked = stage(qs.mark_duplicates(placed))
     tables = stage(qs.tables_of(placed, marked))
     items = stage(qs.row_fields(qs.content_rows(placed, tables)))
 

@@ -93,21 +93,22 @@ def starts_question(first_cell: Column) -> Column:
     return ~fn.is_blank(first_cell) & ~fn.is_commented(first_cell)
 
 
-def split_questions(rows: DataFrame) -> DataFrame:
+def split_questions(rows: DataFrame, written: bool = False) -> DataFrame:
     """Rows of ``row_facts`` with ``q_seq`` and ``island``.
 
     A question starts where the first cell is neither blank nor a comment. Leading blank and
     comment rows are dropped, and the first row left always starts one. ``island`` is equal
     for adjacent rows with a non-blank second cell and different across any gap.
+    ``written`` evaluates the rows once, see ``running``.
     """
     flag = lambda c: F.when(c, F.lit(1)).otherwise(F.lit(0))
     starts = starts_question(F.col("c0"))
     counted = running(
         rows, ["workbook_id"], ["row_idx"], F.col("row_block") if "row_block" in rows.columns else row_bucket(),
-        partitioned="row_block" in rows.columns, once=True,
+        partitioned="row_block" in rows.columns, once=True, written=written,
         sums={"_kept": flag(~F.col("skipped")), "_starts": flag(starts), "_labelled": flag(F.col("c1") != "")},
-        mins={"_lead": F.when(~F.col("skipped"), F.struct("row_idx", flag(starts).alias("starts")))})
-    orphan = F.when(F.col("_lead.starts") == 0, F.lit(1)).otherwise(F.lit(0))
+        mins={"_lead": F.when(~F.col("skipped"), F.col("row_idx").cast("bigint") * 2 + flag(starts))})  # one number, which hash aggregation can hold
+    orphan = F.when(F.col("_lead") % 2 == 0, F.lit(1)).otherwise(F.lit(0))
     return counted.where(F.col("_kept") > 0).select(
         *[c for c in rows.columns if c != "row_block"],
         (F.col("_starts") + orphan).alias("q_seq"),

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from tallyroom.functions import cells as fn
 from tallyroom.operators import questions as qs
 from tallyroom.operators import report, sheets
+from tallyroom.workspace import stage
 
 ITEMS = [[None, "Items"], [None, "Code", "Text", "Shuffle"]]
 
@@ -192,3 +193,49 @@ def test_workbook_routes(spark):
     got = {r.path: (r.read_from, r.error) for r in sheets.workbook_catalog(paths).collect()}
     assert got == {"/a/b.csv": (None, "Only xls and xlsx formats are supported"), "/a/b%20c.xlsx": ("/a/b c.xlsx", None),
                    "/no.xls": (None, "File Not Found: /no.xls")}
+
+
+def test_rows_meet_their_question_and_titles_by_sorting(grid):
+    """Titles and first uses are sums over few rows: no window over rows, and no side that grows with them is broadcast."""
+    rows = stage(sheets.split_questions(sheets.row_facts(grid(ask("5", "RadioGroup", *ITEMS, [None, 1.0, "x"])))))
+    heads = stage(sheets.known_type(sheets.question_type(rows)).drop("rules"))
+    placed = qs.place_rows(qs.match_fields(rows, heads))
+    marked = qs.mark_duplicates(placed)
+    for df, key in ((placed, "run"), (marked, "field")):
+        plan = df._jdf.queryExecution().toString()
+        assert "Window [" not in plan and "BroadcastHashJoin [workbook_id" not in plan and f"{key}#" in plan, key
+
+
+def test_rows_are_evaluated_once_where_they_are_written(spark):
+    from tallyroom.operators import ordered
+    counted = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            counted.add(batch.num_rows)
+            yield batch
+
+    plain = spark.range(300).selectExpr("id % 3 as k", "id as i", "id * 7 % 11 as v")
+    tracked = plain.mapInArrow(seen, "k long, i long, v long")
+    steps = dict(sums={"s": F.col("v")}, mins={"m": F.col("v")}, previous={"p": F.col("v")})
+    bucket = F.floor(F.col("i") / 40).cast("bigint")
+    got = ordered.running(tracked, ["k"], ["i"], bucket, once=True, written=True, **steps)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ordered.running(plain, ["k"], ["i"], bucket, **steps).collect()))
+    assert counted.value == 300
+
+
+def test_quoting_writes_a_text_once(spark):
+    texts = ["[a]", "]", "[", "", '"', '["x"]', "a\nb", "\\", "й", None]
+    quoted = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fn.json_quote(F.col("t")).alias("q"))
+    assert quoted._jdf.queryExecution().analyzed().toString().count("to_json") == 1
+    assert {r.t: r.q for r in quoted.collect()} == {
+        t: None if t is None else '"' + t.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"' for t in texts}
+
+
+def test_tables_are_built_once(grid, monkeypatch):
+    """Several branches read a question's marked rows, heads and built tables; each is written before."""
+    written = []
+    for module in (qs, report):
+        monkeypatch.setattr(module, "stage", lambda df, f=module.stage: written.append(df.columns) or f(df))
+    assert one(grid, *ask("5", "RadioGroup", *ITEMS, [None, 1.0, "x", "+"])).fatal is None
+    assert any("first_row" in c for c in written) and any("keys" in c for c in written) and any("has_type_cell" in c for c in written)
