@@ -23,12 +23,13 @@ def _heads(rows: DataFrame) -> DataFrame:
 
 
 def _matched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = stage(_rows(spark, d))
-    return qs.match_fields(rows, _heads(rows)), _heads(rows)
+    rows = sheets.split_questions(sheets.row_facts(grid.cells(spark, d)), written=True)
+    heads = stage(_heads(rows))
+    return qs.match_fields(rows, heads), heads
 
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
-    return stage(qs.place_rows(_matched(spark, d)[0]))
+    return stage(qs.place_rows(stage(_matched(spark, d)[0])))
 
 
 def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
