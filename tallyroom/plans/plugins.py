@@ -10,6 +10,7 @@ from tallyroom.operators import questions as qs
 from tallyroom.operators import registry, sheets
 from tallyroom.plans import binding as b
 from tallyroom.plans import grid, mail, questions, questions_sql
+from tallyroom.workspace import stage
 
 
 def _doubled(tasks: DataFrame) -> DataFrame:
@@ -60,13 +61,14 @@ def value_transform(spark: SparkSession, d: str) -> DataFrame:
 
 def post_processor(spark: SparkSession, d: str) -> DataFrame:
     rows, tables = questions._items(spark, d)
-    added = qs.post_process(rows, qs.build_rows(rows, tables))
+    rows = stage(rows)
+    added = qs.post_process(rows, stage(qs.build_rows(rows, tables)))
     return added.select("workbook_id", "q_seq", "seq", "k", questions.fn.compact(F.col("v")).alias("v"))
 
 
 def field_kind(spark: SparkSession, d: str) -> DataFrame:
     """Entries of fields by value and by code, without tables."""
-    marked = qs.mark_duplicates(questions._placed(spark, d))
+    marked = stage(qs.mark_duplicates(questions._placed(spark, d)))
     kinds = {k: v for k, v in qs.FIELD_KINDS.items() if k != "table"}
     return qs.apply_fields(marked, None, None, kinds).select("workbook_id", "q_seq", "seq", "k", "v")
 
