@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from tallyroom.workspace import stage
 
-#: Arrivals in a block, and in the blocks that a task holds at a time.
-BLOCK, AT_ONCE = 1024, 500_000
+#: Arrivals in a block, in the pieces that its stamps are handed over in, and in the blocks that a task holds at a time.
+BLOCK, PIECE, AT_ONCE = 1024, 16, 100_000
 STATE_SCHEMA = "namespace string, bound string, previous string"
 _CASES = "array<struct<stamp:string,bound:string,previous:string>>"
 _KEYS = ["namespace", "_block"]
@@ -108,25 +108,63 @@ def _cases(codes: _Codes, grid: np.ndarray, where: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(block, np.arange(grid.shape[1] + 1)), pa.int32()), values)
 
 
+def _starts(batch: pa.RecordBatch) -> np.ndarray:
+    """Where a block begins in rows that hold its parts side by side."""
+    space, block = batch.column("namespace"), batch.column("_block").to_numpy(zero_copy_only=False)
+    names = pc.index_in(space, space.unique()).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (names[1:] != names[:-1])])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of blocks in runs of about AT_ONCE stamps, each ending where a block does."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch.column("stamps").flatten())
+        if n < AT_ONCE:
+            continue
+        run = _joined(held)
+        last = int(_starts(run)[-1])
+        if last:
+            yield run.slice(0, last)
+        held = [_joined([run.slice(last)])]
+        n = len(held[0].column("stamps").flatten())
+    if n:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One batch with the rows of all, which keeps nothing else of them."""
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(c) for b in batches]) for c in batches[0].schema.names], batches[0].schema.names)
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        sizes = pc.list_value_length(whole.column("stamps")).to_numpy(zero_copy_only=False)
+    for run in _whole(batches):
+        starts = _starts(run)
+        lengths = pc.list_value_length(run.column("stamps")).to_numpy(zero_copy_only=False)
+        sizes, ends = np.add.reduceat(lengths, starts), np.r_[starts, run.num_rows]
         for part in _parts(sizes):
-            batch = whole.slice(part.start, part.stop - part.start)
-            stamps, low, high = batch.column("stamps").flatten(), batch.column("low"), batch.column("high")
+            batch = run.slice(int(ends[part.start]), int(ends[part.stop] - ends[part.start]))
+            heads = batch.take(pa.array(starts[part.start : part.stop] - starts[part.start]))
+            stamps, low, high = batch.column("stamps").flatten(), heads.column("low"), heads.column("high")
             codes = _Codes(stamps, low, high)
             grid = _grid(codes.of(stamps), sizes[part.start : part.stop])
             entry, drop = _candidates(grid, codes.of(low), codes.of(high))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in _KEYS), _cases(codes, grid, entry), _cases(codes, grid, drop), codes.back(grid.max(axis=0))],
+                [*(heads.column(c) for c in _KEYS), _cases(codes, grid, entry), _cases(codes, grid, drop), codes.back(grid.max(axis=0))],
                 [*_KEYS, "entry", "drop", "greatest"])
 
 
 def _parts(sizes: np.ndarray) -> Iterator[range]:
-    """Runs of blocks of about AT_ONCE rows."""
-    run = np.cumsum(sizes) // AT_ONCE
-    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(sizes)]
-    return (range(a, b) for a, b in zip(cuts, cuts[1:]) if b > a)
+    """Runs of blocks whose grid has AT_ONCE places at most."""
+    start, most = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if max(most, size) * (k + 1 - start) > AT_ONCE and k > start:
+            yield range(start, k)
+            start, most = k, 0
+        most = max(most, size)
+    if len(sizes):
+        yield range(start, len(sizes))
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,14 +205,12 @@ def _judged(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[p
     for batch in batches:
         if not batch.num_rows:
             continue
-        space, block = batch.column("namespace"), batch.column("_block").to_numpy(zero_copy_only=False)
+        space, block, starts = batch.column("namespace"), batch.column("_block"), _starts(batch)
         codes_of = _Codes(batch.column("timestamp"), batch.column("_bound"), batch.column("_previous"), pa.array(held[1:], pa.string()))
-        names = pc.index_in(space, space.unique()).to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (names[1:] != names[:-1])])
         sizes = np.diff(starts, append=len(block))
         codes = codes_of.of(batch.column("timestamp"))
         bound, previous = codes_of.of(batch.column("_bound"))[starts], codes_of.of(batch.column("_previous"))[starts]
-        if held[0] == (space[0].as_py(), int(block[0])):
+        if held[0] == (space[0].as_py(), block[0].as_py()):
             bound[0], previous[0] = codes_of.of(pa.array(held[1:], pa.string()))
         grid = _grid(codes, sizes)
         marks = _marks(grid, bound, previous)
@@ -183,7 +219,7 @@ def _judged(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[p
         tail = slice(int(starts[-1]), None)
         last_kept, last_late = codes[tail][kept[tail]], codes[tail][late[tail]]
         end = np.array([last_late[-1] if len(last_late) else bound[-1], last_kept[-1] if len(last_kept) else previous[-1]])
-        held = ((space[-1].as_py(), int(block[-1])), *codes_of.back(end).to_pylist())
+        held = ((space[-1].as_py(), block[-1].as_py()), *codes_of.back(end).to_pylist())
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *map(pa.array, (kept, late, check))], [*columns, "kept", "late", "check"])
 
 
@@ -209,7 +245,9 @@ def late_data(events: DataFrame, order: list[str], start: DataFrame | None = Non
     first = start.select("namespace", F.col("bound").alias("_b"), F.col("previous").alias("_p"))
     tops = rows.groupBy(*_KEYS).agg(F.max("timestamp").alias("_greatest")).join(first, "namespace", "left")
     limits = tops.select(*_KEYS, F.col("_b").alias("low"), F.greatest(F.max("_greatest").over(earlier), "_b", "_p").alias("high"))
-    summed = blocks.join(limits, _KEYS).select(*_KEYS, "stamps", "low", "high").mapInArrow(
+    # A batch holds so many rows, whatever is in them, so a block is handed over in pieces that follow each other.
+    pieces = F.transform(F.sequence(F.lit(1), F.size("stamps"), F.lit(PIECE)), lambda i: F.slice("stamps", i, F.lit(PIECE)))
+    summed = blocks.join(limits, _KEYS).select(*_KEYS, "low", "high", F.explode_outer(pieces).alias("stamps")).mapInArrow(
         _summaries, f"namespace string, _block bigint, entry {_CASES}, drop {_CASES}, greatest string")
     chain = summed.join(start, "namespace", "left").repartition("namespace").sortWithinPartitions(*_KEYS)
     states = stage(chain.mapInArrow(_chained, "namespace string, _block bigint, bound string, previous string"))

@@ -75,6 +75,23 @@ def test_marking_goes_on_over_batches():
     assert got == marks
 
 
+def test_blocks_are_summed_up_in_bounded_runs(monkeypatch):
+    """A block comes in pieces over several batches, and a long block among short ones makes no grid of its height for all."""
+    monkeypatch.setattr(late, "AT_ONCE", 2000)
+    rng = random.Random(4)
+    blocks = [[f"{rng.randint(0, 999):03d}" for _ in range(1024 if k % 90 == 0 else rng.randint(1, 3))] for k in range(400)]
+    pieces = [(k, b[i : i + late.PIECE]) for k, b in enumerate(blocks) for i in range(0, len(b), late.PIECE)]
+    batch = lambda rows: pa.RecordBatch.from_arrays(
+        [pa.array(["n"] * len(rows)), pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.string())),
+         pa.array([None] * len(rows), pa.string()), pa.array(["999"] * len(rows))], ["namespace", "_block", "stamps", "low", "high"])
+    grid, cells = late._grid, []
+    monkeypatch.setattr(late, "_grid", lambda codes, sizes: cells.append(max(sizes) * len(sizes)) or grid(codes, sizes))
+    got = [r for out in late._summaries(batch(pieces[k : k + 50]) for k in range(0, len(pieces), 50)) for r in out.to_pylist()]
+    assert [(r["_block"], r["greatest"]) for r in got] == [(k, max(b)) for k, b in enumerate(blocks)]
+    assert [[c["stamp"] for c in r["entry"]] for r in got] == [[t for i, t in enumerate(b) if t > max(b[:i], default="")] for b in blocks]
+    assert max(cells) <= 2000
+
+
 def test_late_rule_takes_the_same_jobs_for_any_log(spark):
     """Two tables are written, whatever the arrivals; nothing waits for what a block says."""
     tracker, seen = spark.sparkContext.statusTracker(), []
