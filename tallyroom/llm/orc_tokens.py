@@ -27,11 +27,11 @@ from tallyroom.workspace import new_folder
 
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 #: Documents whose ids are handed over at once.
-ROWS = 1000
+ROWS = 4000
 #: Where each file begins is broadcast up to so many files, 12 bytes each.
 FEW_FILES = 200_000
 OPTIONS = {
-    "compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000",
+    "compression": "lz4", "orc.create.index": "true", "orc.row.index.stride": "1000",
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(64 << 20),
 }
 

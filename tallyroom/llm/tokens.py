@@ -95,28 +95,33 @@ class Encoder:
         lists = pc.split_pattern(texts.cast(pa.large_binary()).fill_null(b""), b" ")
         flat, cuts = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = flat.dictionary_encode()
-        which = coded.indices.to_numpy().astype(np.int64)
-        first = cuts[:-1][np.diff(cuts) > 0]
+        which = coded.indices.to_numpy().astype(np.int32)
+        filled = np.diff(cuts) > 0
+        first = cuts[:-1][filled]
+        heads = flat.take(pa.array(first)).to_pylist()
         values = list(map(self.known.__getitem__, coded.dictionary.to_pylist()))
-        values += [self.known[b"\n" + c] if c else b"" for c in flat.take(pa.array(first)).to_pylist()]  # no space before it
+        values += [self.known[b"\n" + c] if c else b"" for c in heads]  # no space before it
         which[first] = len(values) - len(first) + np.arange(len(first))
         # A text that is empty or begins with a space has an empty first chunk.
-        unclear = np.fromiter((v is None for v in values), bool, len(values))
-        if first.size:
-            spaced = (np.diff(cuts)[np.diff(cuts) > 0] > 1) & (np.fromiter(map(len, flat.take(pa.array(first)).to_pylist()), np.int64, len(first)) == 0)
-            unclear[which[first[spaced]]] = True
-        values = [v or b"" for v in values]
-        lens = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        pool, begins = np.frombuffer(b"".join(values), "<u4"), lens.cumsum() - lens
+        spaced = [at for at, c, n in zip(which[first].tolist(), heads, np.diff(cuts)[filled].tolist()) if n > 1 and not c]
+        unclear = np.zeros(len(values), bool)
+        unclear[spaced] = True
+        if None in values:
+            unclear[[k for k, v in enumerate(values) if v is None]] = True
+            values = [v or b"" for v in values]
+        lens = np.fromiter(map(len, values), np.int32, len(values)) // 4
+        pool, begins = np.frombuffer(b"".join(values), "<u4"), (lens.cumsum() - lens).astype(np.int32)
         took = lens[which]
-        ends = np.concatenate([[0], took.cumsum()])
-        ids = pool[np.repeat(begins[which] - ends[:-1], took) + np.arange(ends[-1])]
+        ends = np.zeros(len(which) + 1, np.int64)
+        took.cumsum(out=ends[1:])
+        # Ids of a slice and of its chunks are far fewer than 2^31.
+        ids = pool[np.repeat(begins[which] - ends[:-1].astype(np.int32), took) + np.arange(ends[-1], dtype=np.int32)]
         ends = ends[cuts]
         strange = np.zeros(len(texts), bool)
         for content in self.added:  # the library takes an added token out of a text before it splits it
             strange |= pc.match_substring(texts, content).fill_null(False).to_numpy(zero_copy_only=False)
         if unclear.any():
-            strange |= (np.add.reduceat(np.append(unclear[which], False), cuts[:-1]) * (np.diff(cuts) > 0)).astype(bool)
+            strange |= (np.add.reduceat(np.append(unclear[which], False), cuts[:-1]) * filled).astype(bool)
         odd = np.flatnonzero(strange)
         if len(odd):
             each = [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
@@ -158,6 +163,8 @@ def encoder(path: str) -> Encoder:
 def ended(ids: np.ndarray, ends: np.ndarray, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The same with the id ``end`` after each text."""
     n = len(ends) - 1
-    out = np.full(len(ids) + n, end, "<u4")
-    out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(ends))] = ids
-    return out, ends + np.arange(n + 1)
+    ends = ends + np.arange(n + 1)
+    out, own = np.full(len(ids) + n, end, "<u4"), np.ones(len(ids) + n, bool)
+    own[ends[1:] - 1] = False
+    out[own] = ids
+    return out, ends
