@@ -13,7 +13,8 @@ Lines that share a band are candidates, verified by the exact Jaccard similarity
 compared with one line of its band and length class only, and found components are joined. Pairs that are still in
 different components are compared directly in bands of ``FEW`` lines or less. In larger ones lines are matched through
 their rarest shingles: at 0.8 two lines must share one of the first ``n - ceil(0.8 n) + 1`` in any common order, so
-rare ones first loses no pair. Where many unlike lines share even a rarest shingle, all their pairs are verified.
+rare ones first loses no pair. Of those that share one, the pairs whose bitmaps rule them out are never made: a bit is the parity of
+the shingles that fall on it, so two bitmaps differ in no more bits than the lines in shingles. The rest is verified.
 One line of each component stays: its first by document and place.
 
 All of it is DataFrame expressions, joins and groupings; there is no Python on the executors.
@@ -38,6 +39,8 @@ BANDS, BAND = 9, 3
 ROUNDS = 2
 #: Lines of a band that are compared pair by pair.
 FEW = 8
+#: Words of 64 bits in a line's bitmap.
+WORDS = 16
 #: Lines of one class differ in their shingles by a quarter at most.
 CLASS = 1.25
 
@@ -92,10 +95,21 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return shared.where(F.col("shared") >= LIKE * (F.col("sizes") - F.col("shared"))).select("a", "b")
 
 
+def bitmap(token: Column) -> list[Column]:
+    """Aggregates ``w0``, ``w1``, …: the bitmap of a line's shingles."""
+    word, bit = F.pmod(F.shiftright(token, 6), F.lit(WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(63).cast("int"))
+    return [F.coalesce(F.bit_xor(F.when(word == k, bit)), F.lit(0).cast("long")).alias(f"w{k}") for k in range(WORDS)]
+
+
 def _pairs(rows: DataFrame, key: str) -> DataFrame:
-    """Pairs ``a, b`` of rows ``key, line, n, root`` with one key, different roots and numbers of shingles that do not rule them out."""
-    other = rows.select(key, F.col("line").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    """Pairs ``a, b`` of rows ``key, line, n, root`` with one key, different roots and numbers of shingles that do not rule them out,
+    nor their bitmaps, where rows have them."""
+    words = [c for c in rows.columns if c in {f"w{k}" for k in range(WORDS)}]
+    other = rows.select(key, F.col("line").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), *[F.col(c).alias(f"other_{c}") for c in words])
     fits = F.least("n", "m") >= LIKE * F.greatest("n", "m")
+    if words:  # lines that are alike differ in (1 - LIKE) / (1 + LIKE) of their shingles at most
+        bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}"))) for c in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(F.col(f"other_{words[0]}"))))
+        fits = fits & ((1 + LIKE) * bits <= (1 - LIKE) * (F.col("n") + F.col("m")) + 1e-6)
     return rows.join(other, key).where((F.col("line") < F.col("b")) & (F.col("root") != F.col("other")) & fits).select(
         F.col("line").alias("a"), "b").distinct()
 
@@ -107,7 +121,7 @@ def _open(rows: DataFrame, key: str) -> DataFrame:
 
 
 def rarest(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """``token, line, n, root``: the rarest shingles of each line by which it must meet any line like it. ``rows``: line, root."""
+    """``token, line, n, root`` and the line's bitmap: the rarest shingles of each line by which it must meet any line like it. ``rows``: line, root."""
     sets = lines.join(rows, "line").select("line", "root", shingles(F.col("text")).alias("s"))
     each = sets.select("line", F.size("s").alias("n"), "root", F.explode_outer("s").alias("token"))
     each = written(each, "tokens")
@@ -115,8 +129,9 @@ def rarest(rows: DataFrame, lines: DataFrame) -> DataFrame:
     # A line's shingles that no other line has come first in the order and take their places.
     listed = each.join(often, "token").groupBy("line", "n", "root").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("l"))
     places = F.col("n") - F.ceil(LIKE * F.col("n")).cast("int") + 1 - (F.col("n") - F.size("l"))
-    return listed.select("line", "n", "root", F.explode(F.slice("l", F.lit(1), F.greatest(F.lit(0), places))).alias("t")).select(
-        F.col("t.token").alias("token"), "line", "n", "root")
+    met = listed.select("line", "n", "root", F.explode(F.slice("l", F.lit(1), F.greatest(F.lit(0), places))).alias("t"))
+    maps = each.groupBy("line").agg(*bitmap(F.col("token")))
+    return met.join(maps, "line").select(F.col("t.token").alias("token"), "line", "n", "root", *[f"w{k}" for k in range(WORDS)])
 
 
 def like_lines(lines: DataFrame) -> DataFrame:

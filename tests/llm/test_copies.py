@@ -158,6 +158,25 @@ def test_fuzzy_lines(spark, make, none):
     assert lines.deduplicated(none).count() == 0
 
 
+def test_unlike_lines_of_a_rarest_shingle_are_not_paired(spark):
+    """All pairs of 0.8 or more are made; of the others, which share as rare shingles, hardly any."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(60)], []
+    for k in range(120):
+        own = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 2, 6, 8, 10])):
+            own[at] = word()
+        texts.append(" ".join(own))
+    sets = [shingle_set(t) for t in texts]
+    alike = {(a, b) for b in range(120) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "line long, text string")
+    tokens = lines.rarest(rows.selectExpr("line", "line as root"), rows)
+    made = {(r.a, r.b) for r in lines._pairs(tokens, "token").collect()}
+    assert alike <= made
+    assert len(made - alike) < 0.1 * (120 * 119 // 2 - len(alike))
+
+
 def shingle_set(t):
     return {t[k : k + 10] for k in range(max(1, len(t) - 9))}
 
