@@ -222,6 +222,52 @@ def test_crowded_bands_lose_no_pair(spark, make):
     assert Counter((False, r.doc_id, r.place) for r in got) == brute_lines(rows)
 
 
+def test_crowded_lines_are_joined_before_pairs_are_made(spark, monkeypatch):
+    """What is left to be paired by rarest shingles does not grow with the square of a group of near copies."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(60)], []
+    for k in range(150):
+        own = list(base)
+        for at in rng.sample(range(60), rng.choice([3, 4, 5])):
+            own[at] = word()
+        texts.append(" ".join(own))
+    made, pairs = [], lines._pairs
+
+    def counted(rows, key):
+        found = pairs(rows, key)
+        if key == "token":
+            made.append(found.count())
+        return found
+
+    monkeypatch.setattr(lines, "_pairs", counted)
+    monkeypatch.setattr(lines, "FEW", 8)
+    monkeypatch.setattr(lines, "ROUNDS", 1)
+    ids = spark.createDataFrame(list(enumerate(texts)), "line long, text string")
+    got = {r.line: r.root for r in lines.like_lines(ids).collect()}
+    sets = [shingle_set(t) for t in texts]
+    alike = [(a, b) for b in range(150) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = roots(150, alike)
+    assert all(got.get(a) == got.get(b) for a, b in alike) and len(set(got.values())) == len({want[k] for k in got})
+    assert len(made) == 1 and made[0] <= 30
+
+
+def test_long_lines_that_repeat_themselves_have_all_bands(spark):
+    rng = random.Random(2)
+    part = "".join(rng.choice("abcdefghijklmnop ") for _ in range(60))
+    rows = [(0, part * 40), (1, part * 90 + "q")]  # 60 and 70 distinct shingles, 2391 and 5392 in all
+    found = lines.bands(spark.createDataFrame(rows, "line long, text string"))
+    assert found.groupBy("band").count().where("count > 1").count() >= 3
+    assert found.groupBy("line").count().where(f"count = {lines.BANDS}").count() == 2
+
+
+def test_white_space_is_folded_line_by_line(spark):
+    texts = ["  A  b\t\n \n\n\x0bC\f d \r\n e", "\n \n x \n", "Plain\nÉtÉ  ΟΔΟΣ\nΣ", " \t ", "a \n b", "", "\n", "a\u00a0 \u2003b\n\u3000"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", lines.folded(F.col("text")).alias("folded"))
+    for r in rows.collect():
+        assert r.folded.split("\n") == [re.sub(r"\s+", " ", t.lower(), flags=re.A).strip(" ") for t in texts[r.k].split("\n")]
+
+
 def test_repeated_rows_and_documents_without_lines(spark, make, tmp_path):
     rows = [(1, "the same long line", "en", "s")] * 3 + [(2, "The same  long line\nanother one, quite other", "en", "s"), (3, None, "en", "s"), (4, " ", "en", "s")]
     rows += [(None, "x", "en", "s"), (None, "x", "en", "s"), (5, "other text one", "en", "s"), (5, "second text, other", "en", "s"), (6, "😀é日本 " * 9, "ja", "s")]
