@@ -147,11 +147,15 @@ def _paired(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
     return rows.join(other, key).where((F.col("root") != F.col("other")) & _fits(words))
 
 
-def _pairs(rows: DataFrame, key: str) -> DataFrame:
+def _meetings(rows: DataFrame, key: str) -> DataFrame:
     """Pairs ``a, b`` of rows as ``_paired`` makes them, each at the first of the keys that follow each other in both lines."""
     again = F.col("before") == F.col("other_before") if "before" in rows.columns else F.lit(False)
     return _paired(rows, rows, key).where((F.col("line") < F.col("b")) & ~F.coalesce(again, F.lit(False))).select(
-        F.col("line").alias("a"), "b").distinct()
+        F.col("line").alias("a"), "b")
+
+
+def _pairs(rows: DataFrame, key: str) -> DataFrame:
+    return _meetings(rows, key).distinct()
 
 
 def _centered(rows: DataFrame) -> DataFrame:

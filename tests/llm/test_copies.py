@@ -222,6 +222,22 @@ def test_crowded_bands_lose_no_pair(spark, make):
     assert Counter((False, r.doc_id, r.place) for r in got) == brute_lines(rows)
 
 
+def test_alike_lines_are_not_paired_at_each_shared_shingle(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(60)], []
+    for k in range(60):
+        own = list(base)
+        for at in rng.sample(range(60), 2):
+            own[at] = word()
+        texts.append(" ".join(own))
+    ids = spark.createDataFrame(list(enumerate(texts)), "line long, text string")
+    tokens = lines.rarest(ids.select("line", F.col("line").alias("root")), ids)
+    every = lines._meetings(tokens.drop("before"), "token")  # as it was
+    few = lines._meetings(tokens, "token")
+    assert set(every.collect()) == set(few.collect()) and few.count() < 0.3 * every.count()
+
+
 def test_crowded_lines_are_joined_before_pairs_are_made(spark, monkeypatch):
     """What is left to be paired by rarest shingles does not grow with the square of a group of near copies."""
     rng = random.Random(6)
